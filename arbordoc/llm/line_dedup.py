@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,7 +198,7 @@ def _changed(t: pa.Table) -> pa.Table:
     f = CuckooFilter.loads(blobs[0].as_py()) if len(blobs) else CuckooFilter.sized(SHARD_KEYS)
     up = t.column("up")
     for way, do in ((False, f.delete), (True, f.insert)):
-        k = t.column("k1").filter(pa.compute.fill_null(pa.compute.equal(up, way), False)).to_numpy()
+        k = t.column("k1").filter(pc.fill_null(pc.equal(up, way), False)).to_numpy()
         if len(k):
             do(k)
     return _out(t.column("shard")[0].as_py(), f)

@@ -1,10 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import chat_format, exact_dedup, line_dedup, mixing
+from . import bpe, chat_format, exact_dedup, line_dedup, mixing, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_token_files": token_files.op7_token_files,
     "op8_chat_format": chat_format.op8_chat_format,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
