@@ -1,9 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, chat_format, exact_dedup, line_dedup, mixing, token_files
+from . import bpe, chat_format, exact_dedup, line_dedup, mixing, simhash, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_simhash": simhash.op3_simhash,
     "op4_mixing": mixing.op4_mixing,
     "op6_bpe": bpe.op6_bpe,
     "op7_token_files": token_files.op7_token_files,
