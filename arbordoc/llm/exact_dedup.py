@@ -36,7 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("_id", "_cp", "_len", (sha if digest_all else F.when(F.col("_hit"), sha)).alias("_sha"), "_hit", F.monotonically_increasing_id().alias("_row"))
     rows = stash(rows, "exact-rows")
     best = F.min(F.struct((-F.col("_cp")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    groups = rows.where("_hit").groupBy("_len", "_sha").agg(F.count(F.lit(1)).alias("_size"), best.alias("_best")).where("_size > 1")
+    # written first, so that the join has an exchange of its own on both sides, and AQE can split the rows of a hot group
+    groups = stash(rows.where("_hit").groupBy("_len", "_sha").agg(F.count(F.lit(1)).alias("_size"), best.alias("_best")).where("_size > 1"), "exact-groups")
     out = rows.join(groups, ["_len", "_sha"], "left")
     lone = F.col("_size").isNull()
     return out.select(

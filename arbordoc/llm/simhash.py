@@ -99,7 +99,8 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 4096, filter_bits:
 
     fps: distinct fingerprints (column fp). Every two within radius share a signature key (see scheme). Keys are counted with map-side combining; keys of
     one fingerprint vanish there, keys of two already name their pair. For the rest, a filter of fixed size keeps what doesn't belong to such keys from the
-    shuffle; their fingerprints are gathered in blocks of about `block`, a key with more gets several blocks, and each pair of its blocks is one task's row.
+    shuffle; their fingerprints, at most `block`, are gathered by key. Keys with more are told by a filter of their own and counted exactly: they get several
+    blocks of about `block`, and each pair of blocks is one row of work.
     Every pair of fingerprints under a key is compared or already known to be connected: no cap, no sampling.
     """
     n = fps.count()
@@ -108,13 +109,16 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 4096, filter_bits:
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
     two = keys.where(F.col("n") == 2).where(near("a", "b")).select("a", "b")
     many = keys.where("n > 2").select("key", "n")
-    mine = with_hit(v, bitmap(many, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "fp")
-    mine = mine.join(many, "key")
+    hot = many.where(F.col("n") > block)
+    mine = with_hit(v, bitmap(many, filter_bits, "key"), filter_bits, "_many", "key").where("_many").select("key", "fp")
+    mine = with_hit(mine, bitmap(hot, filter_bits, "key"), filter_bits, "_hot", "key")
+    cool = mine.where("not _hot").groupBy("key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 2").select("fps")
+    mine = mine.where("_hot").select("key", "fp").join(many, "key")
     mine = mine.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("s", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
     blocks = mine.groupBy("key", "s").agg(F.first("blocks").alias("blocks"), F.collect_list("fp").alias("fps"))
-    one = blocks.where("blocks = 1").select("fps", F.lit(None).cast("array<long>").alias("others"))
-    big = stash(blocks.where("blocks > 1"), "simhash-blocks")
-    l, r = big.alias("l"), big.alias("r")
+    big = stash(blocks, "simhash-blocks")
+    one = cool.unionByName(big.where("blocks = 1").select("fps")).withColumn("others", F.lit(None).cast("array<long>"))
+    l, r = (big.where("blocks > 1").alias(x) for x in "lr")
     pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.s") < F.col("r.s"))).select(F.col("l.fps").alias("fps"), F.col("r.fps").alias("others"))
 
     def run(batches):
