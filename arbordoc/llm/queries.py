@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, chat_format, exact_dedup, line_dedup, mixing, simhash, token_files
+from . import bpe, chat_format, exact_dedup, line_dedup, mixing, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_token_files": token_files.op7_token_files,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
