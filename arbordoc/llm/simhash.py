@@ -36,15 +36,16 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, row): the fingerprint of every whole text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, row: Column) -> DataFrame:
+    """(id, row, fp): the fingerprint of every whole text as a signed 64-bit integer."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py() or b"", shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+            fp = np.array([fingerprint(t.as_py() or b"", shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "row", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {id_type(docs, id_col)}, fp long")
+    narrow = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("t"))
+    return narrow.mapInArrow(run, f"id {id_type(docs, id_col)}, row long, fp long")
 
 
 def scheme(distinct: int, radius: int) -> list[tuple[int, ...]]:
@@ -136,6 +137,16 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 4096, filter_bits:
     return two.unionByName(one.unionByName(pairs).mapInArrow(run, "a long, b long")).distinct()
 
 
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, head): the class of every fingerprint; head is the number of the row that stays. rows: (id, row, fp), written."""
+    # of a class, the smallest id (null last) gives component_id, and the first of its rows is the one to keep
+    nodes = stash(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("low")), "simhash-nodes")
+    roots = stash(components(near_links(nodes.select("fp"), radius), "simhash-cc"), "simhash-roots").withColumnRenamed("node", "fp")
+    rooted = stash(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    low = rooted.groupBy("root").agg(F.min("low").alias("low"))
+    return stash(rooted.select("fp", "root").join(low, "root").select("fp", F.col("low.id").alias("component_id"), F.col("low.row").alias("head")), "simhash-classes")
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id, keep (one row of each component).
 
@@ -146,16 +157,20 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     No words (null, empty or white space): fingerprint zero, linked like any other. A component whose ids are all null has component_id null. Repeated rows get the same
     class; keep is true for one of them. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = stash(fingerprints(docs, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
-    # of a class, the smallest id (null last) gives component_id, and the first of its rows is the one to keep
-    nodes = stash(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("low")), "simhash-nodes")
-    roots = stash(components(near_links(nodes.select("fp"), radius), "simhash-cc"), "simhash-roots").withColumnRenamed("node", "fp")
-    rooted = stash(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
-    low = rooted.groupBy("root").agg(F.min("low").alias("low"))
-    classes = stash(rooted.select("fp", "root").join(low, "root").select("fp", F.col("low.id").alias("component_id"), F.col("low.row").alias("head")), "simhash-classes")
-    out = rows.join(classes, "fp")
+    rows = stash(fingerprints(docs, id_col, text_col, shingle, F.monotonically_increasing_id()), "simhash-rows")
+    out = rows.join(_classes(rows, radius), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row") == F.col("head")).alias("keep"))
 
 
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """docs with one row of each class: the one with the smallest id, or one of them if rows repeat an id. All columns stay as they are; for nulls see simhash_classes."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = stash(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "simhash-docs")
+    of = dict(zip(docs.columns, names))
+    rows = stash(fingerprints(numbered, of[id_col], of[text_col], shingle, F.col("row")), "simhash-rows")
+    heads = _classes(rows, radius).select(F.col("head").alias("row")).distinct()
+    return numbered.join(heads, "row", "left_semi").select(*names).toDF(*docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

@@ -234,5 +234,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return s.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **kw) -> DataFrame:
+    """docs without the rows whose score reaches the threshold. Row-wise but for the fit; all columns stay as they are; for nulls see toxicity."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    s = score(docs.toDF(*names), fit(docs, labels, id_col, text_col, **kw), of[id_col], of[text_col], threshold, tuple(names))
+    return s.toDF("i", *names, "score", "predicted").where("predicted = 0").select(*names).toDF(*docs.columns)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
