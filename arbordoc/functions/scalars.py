@@ -76,8 +76,8 @@ def hex_unpack(b: Column, length: Column) -> Column:
 def b64_pack(s: Column) -> Column:
     """Base-64 digits, six bits each, as bytes (zero bits at the end). The alphabet is mapped to the one of RFC 4648, whose decoder does the packing."""
     rfc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    padded = F.concat(F.translate(s, ALPHABET, rfc), F.repeat(F.lit("="), F.pmod(-F.length(s), F.lit(4)).cast("int")))
-    return F.unbase64(padded)
+    padded = F.concat(F.translate(s, ALPHABET, rfc), F.repeat(F.lit("A"), F.pmod(-F.length(s), F.lit(4)).cast("int")))
+    return F.substring(F.unbase64(padded), F.lit(1), F.ceil(F.length(s) * 6 / 8).cast("int"))
 
 
 def b64_unpack(b: Column, length: Column) -> Column:

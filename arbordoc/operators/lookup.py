@@ -46,7 +46,7 @@ def sorted_rank(df: DataFrame, key_col: str, *ties: str, rank: str = "rank") ->
 def resolve_refs(df: DataFrame, ref_col: str, dictionary: DataFrame, name_col: str, value_col: str, out: str = "value", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with the dictionary's value of each name; unknown names give NULL. The dictionary is broadcast if its size, as planned, is at most max_bytes; else both sides shuffle."""
     d = dictionary.select(F.col(name_col).alias("_name"), F.col(value_col).alias(out))
-    size = int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.join(F.broadcast(d) if size <= max_bytes else d, F.col(ref_col) == F.col("_name"), "left").drop("_name")
 
 

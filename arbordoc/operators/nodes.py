@@ -21,7 +21,7 @@ def explode_entries(df: DataFrame, json_col: str, outer: bool = False) -> DataFr
     """df with key, pos and value (VARIANT) for each child of the JSON text in json_col: map entries in key order, list elements by pos (key NULL)."""
     join = "left join" if outer else "inner join"
     cols = ", ".join(f"d.`{c}`" for c in df.columns)
-    return df.sparkSession.sql(f"select {cols}, e.pos, e.key, e.value from {{d}} d {join} lateral variant_explode(d._v) e on true", d=df.withColumn("_v", F.try_parse_json(json_col)))
+    return df.sparkSession.sql(f"select {cols}, e.pos, e.key, e.value from {{d}} d {join} lateral variant_explode(try_parse_json(d.`{json_col}`)) e on true", d=df)
 
 
 def elements(df: DataFrame, array_col: str, value: str = "value", pos: str = "pos") -> DataFrame:

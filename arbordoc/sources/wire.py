@@ -31,6 +31,9 @@ class Undefined:
     def __bool__(self) -> bool:
         return False
 
+    def __reduce__(self) -> str:
+        return "UNDEFINED"  # workers get their own module's value, so that identity holds
+
 
 UNDEFINED = Undefined()
 CONSTANTS = {"null": None, "true": True, "false": False, "undef": UNDEFINED, "inf": float("inf"), "ninf": float("-inf"), "nan": float("nan")}
