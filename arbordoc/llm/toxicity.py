@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +54,7 @@ class _Sparse:
         o = np.argsort(row, kind="stable")
         row = row[o]
         first = np.flatnonzero(np.diff(row, prepend=-1))
-        return row[first], first, col[o], weight[o].astype(np.float32), n
+        return row[first], first, col[o].astype(np.int32), weight[o].astype(np.float32), n
 
     @staticmethod
     def _sum(order, x, step=1 << 18):
@@ -74,25 +76,30 @@ class _Sparse:
         return self._sum(self.bwd, x)
 
 
-def train(rows: list[tuple[int, list[str], list[int]]], epochs: int = 6, rate: float = 0.1, batch: int = 128, shrink: float = 7e-4, min_docs: int = 3, seed: int = 1) -> Model:
+def train(rows: Iterable[tuple[int, list[str], list[int]]], epochs: int = 6, rate: float = 0.1, batch: int = 128, shrink: float = 7e-4, min_docs: int = 3, seed: int = 1) -> Model:
     """Fits embeddings and softmax together, by Adagrad over batches of documents. rows: (label, different words, their counts).
 
     After each step a subword's vector is shortened by `shrink` (a group lasso): subwords of chance rareness go to zero, those that carry the label stay.
     A fifth of the rows is kept from the steps and then sets the scale and bias of the log-odds, so that a score of 0.7 means what it says.
     Without rows of both classes the score is the share of label 1 (0.5 without any).
     """
-    y = np.array([r[0] for r in rows], np.int64)
+    index: dict[str, int] = {}
+    labels, word, weight = [], [], []
+    for label, words, counts in rows:
+        labels.append(label)
+        word.append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
+        weight.append(np.array(counts, np.float32) / max(1, sum(counts)))
+    y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    index: dict[str, int] = {}
-    word, weight = [], []
-    for _, words, counts in rows:
-        word.append(np.array([index.setdefault(w, len(index)) for w in words], np.int64))
-        weight.append(np.array(counts, np.float32) / max(1, sum(counts)))
-    grams = [np.array(subwords(w), np.int64) for w in index]
-    size = np.array([len(g) for g in grams], np.int64)
-    flat = np.concatenate([*grams, np.zeros(0, np.int64)])
+    flat, size = array("i"), np.zeros(len(index), np.int64)
+    for k, w in enumerate(index):
+        own = subwords(w)
+        flat.extend(own)
+        size[k] = len(own)
+    index.clear()
+    flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
     start = np.cumsum(size) - size
 
     def grams_of(ws):
@@ -116,7 +123,7 @@ def train(rows: list[tuple[int, list[str], list[int]]], epochs: int = 6, rate: f
         x = _Sparse(np.repeat(np.arange(len(own)), [len(word[i]) for i in own]), col, np.concatenate([weight[i] for i in own]), len(own), len(uw))
         g, n = grams_of(uw)
         ub, col = np.unique(g, return_inverse=True)
-        parts.append((own, x, _Sparse(np.repeat(np.arange(len(uw)), n), col, np.repeat(1 / n, n), len(uw), len(ub)), ub))
+        parts.append((own, x, _Sparse(np.repeat(np.arange(len(uw), dtype=np.int32), n), col, np.repeat((1 / n).astype(np.float32), n), len(uw), len(ub)), ub))
     gain = np.float32(300)  # a few toxic words among hundreds move the mean but little
     e = np.where(live, rng.uniform(-0.1, 0.1, (BUCKETS, DIM)) / DIM, 0).astype(np.float32)
     sign = rng.choice([-0.3, 0.3], DIM)
@@ -142,7 +149,7 @@ def train(rows: list[tuple[int, list[str], list[int]]], epochs: int = 6, rate: f
             v -= 0.1 * r * gv / np.sqrt(hv)
             bias -= r * gb / np.sqrt(hb)
     u = gain * e @ (v[:, 1] - v[:, 0])
-    per_word = np.add.reduceat(u[flat], start) / size if len(size) else np.zeros(0)
+    per_word = np.add.reduceat(u[flat], start) / size if len(size) else np.zeros(0)  # every word has a subword at least
     means = np.array([float(per_word[word[i]] @ weight[i]) for i in check])
     scale, shift = _logistic(means, y[check], 1.0, float(bias[1] - bias[0]))
     return Model((scale * u).astype(np.float32), shift)
@@ -168,8 +175,8 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, seen) -> list[tuple[int, list[str], list[int]]]:
-    """At most per_class rows of each label, chosen by a hash of the id, as bags of words of their whole texts; the bags are made on the executors."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, seen) -> DataFrame:
+    """(i, y, w, n): at most per_class rows of each label, chosen by a hash of the id, as bags of words of their whole texts."""
     one = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null").where(seen("i"))
     one = one.groupBy("i").agg(F.max("y").cast("int").alias("y"))
     key = [F.xxhash64("i"), "i"]
@@ -183,8 +190,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     # at most 2 * per_class rows of an id and a label: a proven bound
     some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("i", "y", "t")
     some = some.groupBy("i").agg(F.first("y").alias("y"), F.min("t").alias("t"))
-    got = some.mapInArrow(bags, f"i {id_type(docs, id_col)}, y int, w array<string>, n array<int>").collect()
-    return [(r["y"], r["w"], r["n"]) for r in sorted(got, key=lambda r: r["i"])]
+    return some.mapInArrow(bags, f"i {id_type(docs, id_col)}, y int, w array<string>, n array<int>")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -218,10 +224,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, seen=lambda c: ~held_out(c)) -> Model:
     """The model of labelled documents.
 
-    It is fitted on the driver, on at most per_class rows of each label (whole texts): a sample, bounded as documented; scores then cover all documents. Held-out rows
+    It is fitted in one task of an executor, on at most per_class rows of each label (whole texts): a sample, bounded as documented; scores then cover all documents.
+    Only the model, half a megabyte, comes to the driver; a lost executor's fit runs again on the same rows in the same order. Held-out rows
     (seen is false) are never read for training. Labels of one id are joined by their maximum; of rows that repeat an id, one text counts. Nulls are skipped.
     """
-    return train(training_rows(docs, labels, id_col, text_col, label_col, per_class, seen))
+    rows = training_rows(docs, labels, id_col, text_col, label_col, per_class, seen).repartition(1).sortWithinPartitions("i")
+
+    def run(batches):
+        m = train((y, w, n) for b in batches for y, w, n in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))))
+        yield pa.RecordBatch.from_pydict({"u": [m.u.astype(np.float32).tobytes()], "bias": [m.bias]})
+
+    got = rows.mapInArrow(run, "u binary, bias double").first()
+    return Model(np.frombuffer(got["u"], np.float32), got["bias"]) if got else train([])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **kw) -> DataFrame:
