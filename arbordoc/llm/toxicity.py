@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -15,16 +13,41 @@ from pyspark.sql import functions as F
 
 from .common import id_type, load
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 17  # the hashes' top 17 bits
 DIM = 8
 EDGE = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum())
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: itself, and its character n-grams of 3 to 5 with marks at both ends. A misspelling keeps most of them."""
-    w = f"<{word.strip(EDGE) or word}>"
-    grams = {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} if len(w) < 200 else {w[:100], w[-100:]}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+GRAMS = (3, 4, 5)
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of every subword: each word itself, and its character n-grams of 3 to 5, with marks at both ends. A misspelling keeps most of them.
+
+    Hashes are rolled over all words at once, as one array of code points.
+    """
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    marked = [f"<{w.strip(EDGE) or w}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    start = np.cumsum(size) - size
+    own = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    left = np.repeat(start + size, size) - np.arange(len(c))  # characters from here to the word's end
+    power = np.cumprod(np.full(int(size.max()), _STEP))
+    h = [np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(start, size)], start)]
+    at = [np.arange(len(words), dtype=np.int32)]
+    rolled = c
+    for n in range(2, GRAMS[-1] + 1):
+        rolled = rolled[:-1] * _STEP + c[n - 1 :]
+        if n in GRAMS:
+            ok = left[: len(rolled)] >= n
+            h.append(rolled[ok] + np.uint64(n))
+            at.append(own[: len(rolled)][ok])
+    x = np.concatenate(h)
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return np.concatenate(at), (x >> np.uint64(64 - 17)).astype(np.int32)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -38,8 +61,9 @@ class Model:
     u: np.ndarray
     bias: float
 
-    def word(self, w: str) -> float:
-        return float(self.u[subwords(w)].mean())
+    def score_words(self, words: list[str]) -> np.ndarray:
+        at, bucket = subwords(words)
+        return np.bincount(at, self.u[bucket], len(words)) / np.maximum(1, np.bincount(at, minlength=len(words)))
 
 
 class _Sparse:
@@ -93,14 +117,11 @@ def train(rows: Iterable[tuple[int, list[str], list[int]]], epochs: int = 6, rat
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    flat, size = array("i"), np.zeros(len(index), np.int64)
-    for k, w in enumerate(index):
-        own = subwords(w)
-        flat.extend(own)
-        size[k] = len(own)
-    index.clear()
-    flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+    at, flat = subwords(list(index))
+    flat = flat[np.argsort(at, kind="stable")]
+    size = np.bincount(at, minlength=len(index))
     start = np.cumsum(size) - size
+    del index, at
 
     def grams_of(ws):
         n = size[ws]
@@ -204,12 +225,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = []
             for t in b.column(1).to_pylist():
                 words = words_of(t)
-                if len(cache) > 400_000:
-                    cache.clear()
                 s = list(map(cache.get, words))
                 if None in s:
-                    for w in set(words).difference(cache):
-                        cache[w] = m.word(w)
+                    if len(cache) > 400_000:
+                        cache.clear()
+                    new = list(set(words).difference(cache))
+                    cache.update(zip(new, m.score_words(new).tolist()))
                     s = list(map(cache.__getitem__, words))
                 out.append(sum(s) / max(1, len(s)) + m.bias)
             p = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -60, 60)))
