@@ -11,8 +11,8 @@ from .common import bitmap, id_type, load, stash, with_hit
 from .graph import components
 
 LEVELS = (1.0, 1.5, 2.25)
-PER_LEVEL = (28, 16, 10)
-REACH = 10  # radius of the patch that the tests read, in pixels of the level
+PER_LEVEL = (40, 20, 10)
+REACH = 13  # radius of the patch that the tests read, in pixels of the level
 MARGIN = REACH + 3
 TURNS = 36
 BITS = 256
@@ -24,13 +24,15 @@ def _pattern() -> np.ndarray:
     """(TURNS, 2 * BITS, 2): the tests' points (dy, dx), first and second points one after the other, turned in steps of 360 / TURNS degrees.
 
     The angle points to where the patch is brighter, so a test along it nearly always comes out alike, and its word would be a key that most images
-    share. The two points of a test therefore lie across: equally far along the angle, but for two pixels.
+    share. The two points of a test therefore lie across: equally far along the angle, but for two pixels; and they are near each other, so that tests at different
+    places tell different things.
     """
     rng = np.random.default_rng(7)
     far = REACH / 1.42
-    along, across = rng.uniform(-far, far, BITS), rng.uniform(-far, far, (2, BITS))
-    one = np.stack([across[0], along], 1)
-    two = np.stack([np.where(np.abs(across[0] - across[1]) < 3, -across[0], across[1]), np.clip(along + rng.uniform(-2, 2, BITS), -far, far)], 1)
+    along, across = rng.uniform(-far, far, (2, BITS))
+    step = rng.uniform(3, 6, BITS) * np.where(across > 0, -1, 1)
+    one = np.stack([across, along], 1)
+    two = np.stack([across + step, np.clip(along + rng.uniform(-2, 2, BITS), -far, far)], 1)
     p = np.concatenate([one, two])
     a = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.stack([np.stack([np.cos(a), np.sin(a)], 1), np.stack([-np.sin(a), np.cos(a)], 1)], 1)
@@ -101,8 +103,8 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         patch = x[k[:, None], y[:, None] + DISC[:, 0], z[:, None] + DISC[:, 1]]
         angle = np.arctan2(patch @ DISC[:, 0].astype(np.float32), patch @ DISC[:, 1].astype(np.float32))
         t = np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
-        s = blur(x)
         p = PATTERN[t]
+        s = blur(x)
         v = s[k[:, None], y[:, None] + p[:, :, 0], z[:, None] + p[:, :, 1]]
         d = np.packbits(v[:, :BITS] < v[:, BITS:], axis=1).view("<u4")
         g = np.stack([y * level, z * level, np.full(len(k), level), angle], 1).astype(np.float32)
@@ -179,11 +181,11 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
 
 
 def _table_keys(sets: DataFrame) -> DataFrame:
-    """(key, node): the Hamming tables. Each of the BANDS words of each corner's tests is the key of one table."""
-    word = lambda j: F.substring(F.col("bits"), j * 4 + 1, F.lit(4))
-    n = F.col("n") * BANDS
-    k = sets.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), word)).alias("at", "w"))
-    return k.select(F.xxhash64(F.col("at") % BANDS, "w").alias("key"), "node").distinct()
+    """(key, node): the Hamming tables. The key of table j is the j-th of the BANDS words of a corner's tests with a byte of the next: 40 tests."""
+    corner, table = F.floor(F.col("at") / BANDS), F.col("at") % BANDS
+    at = sets.select("node", "bits", F.explode(F.sequence(F.lit(0), F.col("n") * BANDS - 1)).alias("at"))
+    byte = lambda first, n: F.substring(F.col("bits"), (corner * 4 * BANDS + first + 1).cast("int"), F.lit(n))
+    return at.select(F.xxhash64(table, byte(table * 4, 4), byte((table * 4 + 4) % (4 * BANDS), 1)).alias("key"), "node").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) -> DataFrame:
@@ -202,36 +204,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) ->
 
 
 def _cross_pairs(active: DataFrame, block: int) -> DataFrame:
-    """(a, b): all pairs of nodes that share a key but not a class. A key's nodes come in blocks of about `block`, and each pair of blocks is one row of work."""
+    """(a, b), once for each key they share: pairs of nodes of different classes. A key's nodes come in blocks of about `block`, and each pair of blocks is one row of work."""
     sized = active.join(active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "key")
     blocks = stash(sized.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks"))).groupBy("key", "s").agg(F.collect_list("node").alias("ns"), F.collect_list("root").alias("rs")), "media-blocks")
     l, r = (blocks.alias(x) for x in "lr")
     both = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.s") <= F.col("r.s")))
-    both = both.select(F.col("l.ns").alias("an"), F.col("l.rs").alias("ar"), F.col("r.ns").alias("bn"), F.col("r.rs").alias("br"))
+    both = both.select(F.col("l.ns").alias("an"), F.col("l.rs").alias("ar"), F.col("r.ns").alias("bn"), F.col("r.rs").alias("br"), (F.col("l.s") == F.col("r.s")).alias("same"))
 
     def run(batches):
         for batch in batches:
-            for an, ar, bn, br in zip(*batch.columns):
+            out_a, out_b, held = [], [], 0
+            for an, ar, bn, br, same in zip(*batch.columns):
                 an, ar, bn, br = (x.values.to_numpy() for x in (an, ar, bn, br))
                 for n, root in zip(an, ar):
-                    other = bn[br != root]
+                    other = bn[(br != root) & (bn > n)] if same.as_py() else bn[br != root]
                     if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n, other)), pa.array(np.maximum(n, other))], names=["a", "b"])
+                        out_a.append(np.minimum(n, other))
+                        out_b.append(np.maximum(n, other))
+                        held += len(other)
+                    if held > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                        out_a, out_b, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
-def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 6, block: int = 2048, filter_bits: int = 24, rounds: int = 6) -> DataFrame:
+def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 4, votes: int = 2, block: int = 2048, filter_bits: int = 24, rounds: int = 4) -> DataFrame:
     """One row per input row: id, n_corners, class_id, the smallest id among the images that are linked to it, directly or through others.
 
-    Two images are linked if at least one corner of each share one of the Hamming tables' keys (one of 8 words of 32 tests is equal) and at least `least` matching corners (at most most_bits of 256
-    tests differ) agree on one shift, turn and scale: cropped, shifted, turned, resized, brighter or partly covered copies.
+    Two images are linked if they share at least `votes` keys of the Hamming tables (8 keys of 40 tests for each corner) and at least `least` matching corners (at most
+    most_bits of 256 tests differ) agree on one shift, turn and scale: cropped, shifted, turned, resized, brighter or partly covered copies.
 
     1. Corners and tests are computed row by row. Images with the same corners and tests are one node, so exact copies never meet in a table.
     2. The tables are one equality grouping. Keys of one node go, by a filter of fixed size and an exact count.
     3. In each round every key whose nodes are not yet one class pairs its smallest remaining node with the others that aren't in its class, and then leaves it out:
-       as many pairs as the table has rows. Verified pairs are links; classes are the components of all links. A hot group of copies becomes one class in a round or two.
-    4. When rounds join little, are used up or few pairs are left, all pairs that share a key and not a class are verified, in blocks. So no link between classes is missed: no cap, no sampling.
+       at most as many pairs as the table has rows. Verified pairs are links; classes are the components of all links. A hot group of copies becomes one class in a round or two.
+    4. When rounds join little, are used up or few pairs are left, the whole table is gone through again, in blocks: all pairs that share enough keys and not yet a
+       class are verified. So no link between classes is missed: no cap, no sampling.
 
     Images that can't be read, are null, flat or too small have no corners and are classes of their own, null ids included (class_id null). Repeated rows share a class.
     An empty table gives an empty result. Other columns are ignored. image_col: binary PGM of 8 bits.
@@ -242,26 +253,32 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     sets = stash(named.groupBy("set").agg(low, F.first("geo").alias("geo"), F.first("bits").alias("bits"), F.first("n").alias("n")).withColumn("node", F.col("low.row")), "media-sets")
     keys = stash(_table_keys(sets), "media-keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    left = stash(with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").join(shared, "key", "left_semi"), "media-table")
+    whole = stash(with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").join(shared, "key", "left_semi"), "media-table")
     links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    roots, known, few = None, 0, False
+    left, roots, known, last = whole, None, 0, False
     for k in range(rounds + 1):
-        table = left.withColumn("root", F.col("node")) if roots is None else left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = table.groupBy("key").agg(F.min("node").alias("rep"), F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
-        mixed = stash(mixed.where("r0 < r1").select("key", "rep", F.col("first.root").alias("rep_root"), "k"), "media-mixed")
+        last = last or k == rounds
+        table = whole if last else left
+        table = table.withColumn("root", F.col("node")) if roots is None else table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = table.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
+        mixed = stash(mixed.where("r0 < r1").select("key", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"), "k"), "media-mixed")
         n, most = mixed.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0))).first()
         if not n:
-            break
+            if last:
+                break
+            last = True
+            continue
         active = stash(table.join(mixed, "key"), "media-active")
-        last = few or k == rounds or most <= 8 * n
-        pairs = _cross_pairs(active.select("key", "node", "root"), block) if last else active.where("root <> rep_root").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = _cross_pairs(active.select("key", "node", "root"), block) if last else active.where("root <> rep_root").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        pairs = stash(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") >= votes).select("a", "b"), "media-pairs")
         links = stash(links.unionByName(_verified(pairs, sets, most_bits, least)), "media-links")
         roots = stash(components(links, "media-cc"), "media-roots")
         if last:
             break
-        left = stash(active.where("node <> rep").select("key", "node"), "media-table")
+        left = active.where("node <> rep").select("key", "node")
         before, known = known, links.count()
-        few = 20 * (known - before) < n  # what shares keys now are mostly different images: further rounds would join little
+        # few pairs left, or what shares keys now are mostly different images, so that further rounds would join little
+        last = most <= 8 * n or 20 * (known - before) < n
     where = sets.select("set", "node", "low")
     where = where.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else where.withColumn("root", F.col("node"))
     where = stash(where, "media-where")
@@ -270,16 +287,22 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_corners"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
 
-SIDE, CELL = 96, 6
+SIDE, TILE = 96, 4
+
+
+def _scenes() -> np.ndarray:
+    """(tiles, 64): how a vector's components make the grey value of each tile."""
+    return np.random.default_rng(11).normal(0, 1, ((SIDE // TILE) ** 2, 64)).astype(np.float32)
+
+
+SCENES = _scenes()
 
 
 def draw(vec: np.ndarray, vec_id: int) -> np.ndarray:
-    """A scene of 16 x 16 tiles whose brightness follows the vector, so like vectors give like scenes; by the id, one of three is cropped and one has other contrast and a covered patch."""
-    v = np.resize(np.asarray(vec, np.float64), 64)
-    v = v / (np.abs(v).mean() + 1e-9)
-    i = np.arange(16)
-    a = np.tanh(v[(i[:, None] * 5 + i * 3) % 64] + v[(i[:, None] * 11 + i * 7 + (i[:, None] * i) % 13) % 64])
-    img = np.kron(128 + 80 * a, np.ones((CELL, CELL)))
+    """A scene of tiles whose grey follows the vector, so like vectors give like scenes; by the id, one of three is cropped and one has other contrast and a covered patch."""
+    v = np.resize(np.asarray(vec, np.float32), 64)
+    grey = np.tanh(SCENES @ v / (np.sqrt(v @ v) + 1e-9) / 1.2).reshape(SIDE // TILE, -1)
+    img = 128 + 100 * np.kron(grey, np.ones((TILE, TILE), np.float32))
     rng = np.random.default_rng(vec_id & 0x7FFFFFFFFFFF)
     y, x = rng.integers(0, 17, 2)
     if vec_id % 3 == 1:
