@@ -17,9 +17,15 @@ MARGIN = REACH + 3
 TURNS = 36
 BITS = 256
 BANDS = 8
+#: Parts of a pixel, of a scale and of a turn that corners are stored in. Images must have fewer than 8192 pixels a side.
+UNITS = np.array([4, 4, 1000, 1000], np.float32)
 ONE = np.zeros(0, np.float32)
 
 
+def to_units(geo: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(geo * UNITS), -32768, 32767).astype(np.int16)
+
+
 def _pattern() -> np.ndarray:
     """(TURNS, 2 * BITS, 2): the tests' points (dy, dx), first and second points one after the other, turned in steps of 360 / TURNS degrees.
 
@@ -144,13 +150,15 @@ def pgm(image: np.ndarray) -> bytes:
 
 
 def read_pgm(blob: bytes | None) -> np.ndarray | None:
-    """A grey image from a binary PGM (P5, 8 bits, no comments); None for anything else."""
+    """A grey image from a binary PGM (P5, 8 bits, no comments, fewer than 8192 pixels a side); None for anything else."""
     parts = (blob or b"").split(maxsplit=4) if (blob or b"")[:2] == b"P5" else []
     head = (blob or b"")[:64].split(b"\n", 3)
     if len(parts) < 4 or len(head) < 4:
         return None
     try:
         w, h = map(int, head[1].split())
+        if max(w, h) >= 8192:
+            return None
         data = blob[sum(len(x) + 1 for x in head[:3]) :]
         return np.frombuffer(data, np.uint8).reshape(h, w) if head[2] == b"255" and w > 0 and h > 0 else None
     except ValueError:
@@ -175,31 +183,33 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
                     for k in range(0, len(own), step):
                         for i, d in zip(own[k : k + step], describe(np.stack([images[j] for j in own[k : k + step]]))):
                             out[i] = d
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g, _ in out], pa.binary()), pa.array([d.tobytes() for _, d in out], pa.binary()), pa.array([len(g) for g, _ in out], pa.int32())], names=["id", "geo", "bits", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_units(g).tobytes() for g, _ in out], pa.binary()), pa.array([d.tobytes() for _, d in out], pa.binary()), pa.array([len(g) for g, _ in out], pa.int32())], names=["id", "geo", "bits", "n"])
 
     return media.select(F.col(id_col), F.col(image_col)).mapInArrow(run, f"id {id_type(media, id_col)}, geo binary, bits binary, n int")
 
 
 def _table_keys(sets: DataFrame) -> DataFrame:
-    """(key, node): the Hamming tables. The key of table j is the j-th of the BANDS words of a corner's tests with a byte of the next: 40 tests."""
+    """(key, node), once for each corner that has the key: the Hamming tables. The key of table j is the j-th of the BANDS words of a corner's tests with a byte of the next: 40 tests."""
     corner, table = F.floor(F.col("at") / BANDS), F.col("at") % BANDS
     at = sets.select("node", "bits", F.explode(F.sequence(F.lit(0), F.col("n") * BANDS - 1)).alias("at"))
     byte = lambda first, n: F.substring(F.col("bits"), (corner * 4 * BANDS + first + 1).cast("int"), F.lit(n))
-    return at.select(F.xxhash64(table, byte(table * 4, 4), byte((table * 4 + 4) % (4 * BANDS), 1)).alias("key"), "node").distinct()
+    return at.select(F.xxhash64(table, byte(table * 4, 4), byte((table * 4 + 4) % (4 * BANDS), 1)).alias("key"), "node")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) -> DataFrame:
     """Those pairs (a, b) whose corners have a consensus of at least `least`. The joins' pair side is narrow, and AQE can split a hot image."""
-    one = sets.select(F.col("node").alias("a"), F.col("geo").alias("ga"), F.col("bits").alias("da"))
-    two = sets.select(F.col("node").alias("b"), F.col("geo").alias("gb"), F.col("bits").alias("db"))
 
     def run(batches):
-        shape = lambda g, d: (np.frombuffer(g, np.float32).reshape(-1, 4), np.frombuffer(d, "<u4").reshape(-1, BANDS))
+        shape = lambda g, d: (np.frombuffer(g, np.int16).reshape(-1, 4) / UNITS, np.frombuffer(d, "<u4").reshape(-1, BANDS))
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             ok = [consensus(shape(ga, da), shape(gb, db), most_bits) >= least for ga, da, gb, db in zip(*cols[2:])]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    # only images that have a pair go into the shuffles with their corners
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = stash(with_hit(sets, bitmap(ends, 22, "node"), 22, "_hit", "node").where("_hit").select("node", "geo", "bits"), "media-ends")
+    one, two = (some.toDF(x, f"g{x}", f"d{x}") for x in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "da", "gb", "db").mapInArrow(run, "a long, b long")
 
 
@@ -251,9 +261,11 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     named = rows.where("n > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
     low = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("low")
     sets = stash(named.groupBy("set").agg(low, F.first("geo").alias("geo"), F.first("bits").alias("bits"), F.first("n").alias("n")).withColumn("node", F.col("low.row")), "media-sets")
-    keys = stash(_table_keys(sets), "media-keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    whole = stash(with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").join(shared, "key", "left_semi"), "media-table")
+    # a key is shared if it has two different nodes; the keys are made twice from the corners, which is cheaper than to write them all
+    keys = _table_keys(sets)
+    shared = stash(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "media-shared")
+    whole = with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").distinct()
+    whole = stash(whole.join(shared, "key", "left_semi"), "media-table")
     links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     left, roots, known, last = whole, None, 0, False
     for k in range(rounds + 1):
