@@ -331,7 +331,7 @@ def bpe_of(path: str) -> Bpe:
     return Bpe(path)
 
 
-def portions(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
+def portions(batch: pa.RecordBatch, column: int, limit: int = 1_000_000):
     """batch in slices of at least one row and, from two rows on, at most limit bytes in column."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
@@ -382,7 +382,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "text", vocabular
     def run(batches):
         bpe = bpe_of(path)
         for b in batches:
-            for p in portions(b, at, 8_000_000):
+            for p in portions(b, at, 4_000_000):
                 texts = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in p.column(at)]
                 cols = [c for i, c in enumerate(p.columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, out_col])

@@ -117,11 +117,16 @@ def train(rows: Iterable[tuple[int, list[str], list[int]]], epochs: int = 6, rat
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    at, flat = subwords(list(index))
-    flat = flat[np.argsort(at, kind="stable")]
-    size = np.bincount(at, minlength=len(index))
+    vocabulary, flat, size = list(index), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    index.clear()
+    for k in range(0, len(vocabulary), 20_000):
+        part = vocabulary[k : k + 20_000]
+        at, bucket = subwords(part)
+        flat.append(bucket[np.argsort(at, kind="stable")])
+        size.append(np.bincount(at, minlength=len(part)))
+    del vocabulary
+    flat, size = np.concatenate(flat), np.concatenate(size)
     start = np.cumsum(size) - size
-    del index, at
 
     def grams_of(ws):
         n = size[ws]
@@ -144,7 +149,7 @@ def train(rows: Iterable[tuple[int, list[str], list[int]]], epochs: int = 6, rat
         x = _Sparse(np.repeat(np.arange(len(own)), [len(word[i]) for i in own]), col, np.concatenate([weight[i] for i in own]), len(own), len(uw))
         g, n = grams_of(uw)
         ub, col = np.unique(g, return_inverse=True)
-        parts.append((own, x, _Sparse(np.repeat(np.arange(len(uw), dtype=np.int32), n), col, np.repeat((1 / n).astype(np.float32), n), len(uw), len(ub)), ub))
+        parts.append((own, x, _Means(col, n, len(ub)), ub))
     gain = np.float32(300)  # a few toxic words among hundreds move the mean but little
     e = np.where(live, rng.uniform(-0.1, 0.1, (BUCKETS, DIM)) / DIM, 0).astype(np.float32)
     sign = rng.choice([-0.3, 0.3], DIM)
@@ -176,6 +181,25 @@ def train(rows: Iterable[tuple[int, list[str], list[int]]], epochs: int = 6, rat
     return Model((scale * u).astype(np.float32), shift)
 
 
+class _Means:
+    """Rows that are means of other rows: those that col names, n[i] of them for row i, one row's after another. Half the memory of a _Sparse."""
+
+    def __init__(self, col, n, n_cols):
+        self.col, self.n, self.n_cols = col.astype(np.int32), n, n_cols
+        self.first = np.cumsum(n) - n
+        o = np.argsort(col, kind="stable")
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)[o]
+        self.cols, self.cut = np.unique(col[o], return_index=True)
+
+    def dot(self, x):
+        return np.add.reduceat(x[self.col], self.first, axis=0) / self.n[:, None].astype(np.float32)
+
+    def t_dot(self, x):
+        out = np.zeros((self.n_cols, x.shape[1]), np.float32)
+        out[self.cols] = np.add.reduceat((x / self.n[:, None].astype(np.float32))[self.row], self.cut, axis=0)
+        return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, scale: float, shift: float) -> tuple[float, float]:
     """Scale and shift of x as log-odds of y, by Newton steps with a weak pull to what is given; that is kept if y has one class only."""
     if not len(y) or y.min() == y.max():
@@ -227,7 +251,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 words = words_of(t)
                 s = list(map(cache.get, words))
                 if None in s:
-                    if len(cache) > 400_000:
+                    if len(cache) > 200_000:
                         cache.clear()
                     new = list(set(words).difference(cache))
                     cache.update(zip(new, m.score_words(new).tolist()))
@@ -252,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = training_rows(docs, labels, id_col, text_col, label_col, per_class, seen).repartition(1).sortWithinPartitions("i")
 
     def run(batches):
-        m = train((y, w, n) for b in batches for y, w, n in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))))
+        slices = (b.slice(k, 100) for b in batches for k in range(0, b.num_rows, 100))  # few rows as Python objects at a time
+        m = train((y, w, n) for p in slices for y, w, n in zip(*(p.column(k).to_pylist() for k in (1, 2, 3))))
         yield pa.RecordBatch.from_pydict({"u": [m.u.astype(np.float32).tobytes()], "bias": [m.bias]})
 
     got = rows.mapInArrow(run, "u binary, bias double").first()
