@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, load
+from .common import id_type, lean, load
 
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -369,7 +369,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 ids, n = bpe.encode([t or "" for t in p.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(n, pa.int64()), cut_bytes(ids.astype("<u4").tobytes(), n * 4)], names=["i", "n", "ids"])
 
-    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"i {id_type(docs, id_col)}, n long, ids binary")
+    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"i {id_type(docs, id_col)}, n long, ids binary")
     return out.toDF(id_col, "n_tokens", "ids")
 
 
@@ -389,7 +389,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "text", vocabular
 
     names = [f"c{i}" for i in range(len(fields))]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)] + [T.StructField(out_col, T.StringType())])
-    return df.mapInArrow(run, schema).toDF(*[f.name for f in fields], out_col)
+    return df.mapInArrow(lean(run), schema).toDF(*[f.name for f in fields], out_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +71,19 @@ def with_hit(df: DataFrame, filt: DataFrame, bits: int, out: str, *cols: Column
     return d.withColumn(out, hit).drop("_word", "_slot", "_mask")
 
 
+def lean(run):
+    """run (batches to batches, for mapInArrow), giving free memory back to the system when its task ends: Spark keeps Python workers for later
+    tasks, and what the allocators keep in each of them would add up in an executor."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def id_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()

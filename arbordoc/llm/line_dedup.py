@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_type, load, stash
+from .common import id_type, lean, load, stash
 from .cuckoo import CuckooFilter, Full
 
 SHARD_KEYS = 1 << 16
@@ -33,7 +33,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
             k = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), b.column(0).take(pa.array(ids, pa.int64()))], names=["k1", "k2", "doc"])
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("t")).where("doc is not null").mapInArrow(run, f"k1 long, k2 long, doc {id_type(docs, id_col)}")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("t")).where("doc is not null").mapInArrow(lean(run), f"k1 long, k2 long, doc {id_type(docs, id_col)}")
 
 
 class LineIndex:
@@ -125,7 +125,7 @@ class LineIndex:
                             hit[own == s] = f.contains(k1[own == s])
                     yield b.filter(pa.array(hit))
 
-            refs = refs.mapInArrow(probe, refs.schema)
+            refs = refs.mapInArrow(lean(probe), refs.schema)
         hot = self.counts.where(F.col("n") >= self.min_docs).select("k1", "k2", "top")
         gone = refs.join(hot, ["k1", "k2"]).where("doc < top")
         key = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("k1", "k2")])
@@ -159,7 +159,7 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
 
         schema = T.StructType([T.StructField(names[c], T.StringType() if c == text_col else docs.schema[c].dataType) for c in docs.columns] + [T.StructField("n0", T.LongType()), T.StructField("n1", T.LongType())])
-        out = d.mapInArrow(run, schema)
+        out = d.mapInArrow(lean(run), schema)
         new = []
         for c in ("n_lines", "n_dropped"):
             while c in docs.columns or c in new:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_type, load, stash, with_hit
+from .common import bitmap, id_type, lean, load, stash, with_hit
 from .graph import components
 
 BITS = 64
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, row:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "row", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("t"))
-    return narrow.mapInArrow(run, f"id {id_type(docs, id_col)}, row long, fp long")
+    return narrow.mapInArrow(lean(run), f"id {id_type(docs, id_col)}, row long, fp long")
 
 
 def scheme(distinct: int, radius: int) -> list[tuple[int, ...]]:
@@ -134,7 +134,7 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 4096, filter_bits:
                 c.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["a", "b"])
 
-    return two.unionByName(one.unionByName(pairs).mapInArrow(run, "a long, b long")).distinct()
+    return two.unionByName(one.unionByName(pairs).mapInArrow(lean(run), "a long, b long")).distinct()
 
 
 def _classes(rows: DataFrame, radius: int) -> DataFrame:

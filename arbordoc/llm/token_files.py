@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import bpe_of, default_vocabulary, portions
-from .common import id_type, load, shared_path, stash
+from .common import id_type, lean, load, shared_path, stash
 from .simple8b import BLOCK, pack, unpack
 
 MAGIC = b"TOKS8B01"
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             a, t, size = w.close()
             yield pa.RecordBatch.from_pydict({"file": [part], "uri": [f"{root}/{name}"], "n_docs": [a], "n_tokens": [t], "n_bytes": [size]})
 
-    return stash(rows.mapInArrow(run, "file long, uri string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    return stash(rows.mapInArrow(lean(run), "file long, uri string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, id_type_name: str = "long") -> DataFrame:
@@ -162,7 +162,7 @@ def read_tokens(manifest: DataFrame, id_type_name: str = "long") -> DataFrame:
 
     names = ["i", "file", "at", "n_tokens", "ids_crc32"]
     files = max(1, manifest.count())
-    rows = manifest.select("file", "uri").repartitionByRange(files, "file").mapInArrow(run, f"i {id_type_name}, file long, at long, n_tokens long, ids_crc32 long")
+    rows = manifest.select("file", "uri").repartitionByRange(files, "file").mapInArrow(lean(run), f"i {id_type_name}, file long, at long, n_tokens long, ids_crc32 long")
     # one row per file: as many as write_tokens had partitions
     before = manifest.select("file", (F.sum("n_tokens").over(W.orderBy("file")) - F.col("n_tokens")).alias("before"))
     out = rows.join(F.broadcast(before), "file")

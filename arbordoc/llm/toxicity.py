@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, load
+from .common import id_type, lean, load
 
 BUCKETS = 1 << 17  # the hashes' top 17 bits
 DIM = 8
@@ -235,7 +235,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     # at most 2 * per_class rows of an id and a label: a proven bound
     some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("i", "y", "t")
     some = some.groupBy("i").agg(F.first("y").alias("y"), F.min("t").alias("t"))
-    return some.mapInArrow(bags, f"i {id_type(docs, id_col)}, y int, w array<string>, n array<int>")
+    return some.mapInArrow(lean(bags), f"i {id_type(docs, id_col)}, y int, w array<string>, n array<int>")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = ["i", *[f"k{n}" for n in range(len(keep))], "score", "predicted"]
     types = [id_type(docs, id_col), *[id_type(docs, c) for c in keep], "double", "int"]
     d = docs.select(F.col(id_col), F.col(text_col), *[F.col(c) for c in keep])
-    return d.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types))).toDF(id_col, *keep, "score", "predicted")
+    return d.mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in zip(names, types))).toDF(id_col, *keep, "score", "predicted")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, seen=lambda c: ~held_out(c)) -> Model:
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         m = train((y, w, n) for p in slices for y, w, n in zip(*(p.column(k).to_pylist() for k in (1, 2, 3))))
         yield pa.RecordBatch.from_pydict({"u": [m.u.astype(np.float32).tobytes()], "bias": [m.bias]})
 
-    got = rows.mapInArrow(run, "u binary, bias double").first()
+    got = rows.mapInArrow(lean(run), "u binary, bias double").first()
     return Model(np.frombuffer(got["u"], np.float32), got["bias"]) if got else train([])
 
 
