@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -392,12 +393,31 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "text", vocabular
     return df.mapInArrow(lean(run), schema).toDF(*[f.name for f in fields], out_col)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids, and take digests of both."""
-    e = encode(docs, id_col, text_col, vocabulary).select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    d = decode(e, "ids", "decoded", vocabulary)
-    return d.select(id_col, "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep_ids: bool = True) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256, and ids unless keep_ids is false: encodes every whole text as `encode` does, decodes the ids as `decode` does, and takes digests of both.
+
+    One Python worker does both for a task, so an executor holds half as many of them as with the two operators one after the other.
+    """
+    path = vocabulary or default_vocabulary()
+    names = ["i", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if keep_ids else 4]
+
+    def run(batches):
+        bpe = bpe_of(path)
+        for b in batches:
+            for p in portions(b, 1):
+                ids, n = bpe.encode([t or "" for t in p.column(1).to_pylist()])
+                raw, stops = ids.astype("<u4").tobytes(), np.cumsum(n).tolist()
+                own, back = [], []
+                for k, stop in zip(n.tolist(), stops):
+                    own.append(hashlib.sha256(raw[4 * (stop - k) : 4 * stop]).hexdigest())
+                    back.append(hashlib.sha256(bpe.decode(ids[stop - k : stop])).hexdigest())
+                cols = [p.column(0), pa.array(n, pa.int64()), pa.array(own), pa.array(back), cut_bytes(raw, n * 4)]
+                yield pa.RecordBatch.from_arrays(cols[: len(names)], names=names)
+
+    types = [id_type(docs, id_col), "long", "string", "string", "binary"]
+    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in zip(names, types)))
+    return out.toDF(id_col, *names[1:])
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(load(spark, sf_dir, "documents"))
+    return round_trip(load(spark, sf_dir, "documents"), keep_ids=False)
