@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordoc.llm.bpe import decode, encode
+from arbordoc.llm.bpe import round_trip
 from arbordoc.llm.common import load, stash
 from arbordoc.llm.line_dedup import line_dedup
 from arbordoc.llm.mixing import mixed_rows
@@ -39,9 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row (little-endian unsigned 32-bit integers), with a digest of the text that they decode to."""
-    ids = encode(docs.select("doc_id", "text"))
-    kept = ids.select("doc_id", "n_tokens", "ids", F.col("ids").alias("again"))
-    return decode(kept, "again", "decoded").select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
