@@ -12,6 +12,7 @@ DIGITS = 11  # base-64 digits of a 64-bit integer
 
 def b64_stringify(n: Column) -> Column:
     """Digits of a non-negative integer in base 64, without leading zeros (zero: ''). Negative: error."""
+    n = n.cast("long")  # shifts of 32-bit integers count modulo 32
     parts = [F.substr(F.lit(ALPHABET), (F.shiftrightunsigned(n, 6 * i).bitwiseAND(F.lit(63)) + 1).cast("int"), F.lit(1)) for i in range(DIGITS - 1, -1, -1)]
     text = F.ltrim(F.concat(*parts), F.lit("0"))
     return F.when(n < 0, F.raise_error(F.concat(F.lit("negative: "), n.cast("string"))).cast("string")).otherwise(text)

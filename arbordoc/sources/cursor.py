@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -209,6 +210,8 @@ class Document:
         elif x.kind == "exp":
             m, e = (((n >> 1) ^ -(n & 1)) for n in (self.wire.node(self.data, x.tag_at).number, x.number))
             v = m * 10**e if 0 <= e <= 30 else float(f"{m}e{e}")
+            if v in (math.inf, -math.inf):  # the digits of the largest numbers are rounded up; infinity has a name of its own
+                v = math.copysign(sys.float_info.max, m)
         elif x.kind in STRINGS:
             v = self.string(x)
         elif x.kind == "name":
