@@ -85,7 +85,7 @@ def _links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             x = todo.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
+            near = np.bitwise_count((rest ^ x).view(np.uint64)) <= radius  # of signed numbers numpy counts the absolute value's bits
             if near.any():
                 found = rest[near]
                 out_a.append(np.full(len(found), x))
