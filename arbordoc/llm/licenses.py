@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, load
+from .common import id_type, lean, load
 
 #: Short notices of public licences, by SPDX identifier. One licence may have several notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -193,7 +193,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.float64()))]], names=names)
 
     names = ["i", "notice", "start", "end", "license", "exact", "missing", "extra", "saving"]
-    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"i {id_type(docs, id_col)}, notice long, start long, end long, license string, exact boolean, missing string, extra string, saving double")
+    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"i {id_type(docs, id_col)}, notice long, start long, end long, license string, exact boolean, missing string, extra string, saving double")
     return out.toDF(id_col, *names[1:])
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_type, load, stash, with_hit
+from .common import bitmap, id_type, lean, load, stash, with_hit
 from .graph import components
 
 LEVELS = (1.0, 1.5, 2.25)
@@ -185,7 +185,7 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
                             out[i] = d
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_units(g).tobytes() for g, _ in out], pa.binary()), pa.array([d.tobytes() for _, d in out], pa.binary()), pa.array([len(g) for g, _ in out], pa.int32())], names=["id", "geo", "bits", "n"])
 
-    return media.select(F.col(id_col), F.col(image_col)).mapInArrow(run, f"id {id_type(media, id_col)}, geo binary, bits binary, n int")
+    return media.select(F.col(id_col), F.col(image_col)).mapInArrow(lean(run), f"id {id_type(media, id_col)}, geo binary, bits binary, n int")
 
 
 def key_bytes(images: int) -> int:
@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) ->
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     some = stash(with_hit(sets, bitmap(ends, 22, "node"), 22, "_hit", "node").where("_hit").select("node", "geo", "bits"), "media-ends")
     one, two = (some.toDF(x, f"g{x}", f"d{x}") for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "da", "gb", "db").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "da", "gb", "db").mapInArrow(lean(run), "a long, b long")
 
 
 def _cross_pairs(active: DataFrame, block: int) -> DataFrame:
@@ -244,7 +244,7 @@ def _cross_pairs(active: DataFrame, block: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 4, votes: int = 2, block: int = 2048, filter_bits: int = 24, rounds: int = 4) -> DataFrame:
@@ -339,7 +339,7 @@ def drawn(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             made = [pgm(draw(np.array(v, np.float64), i or 0)) if v else None for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["id", "image"])
 
-    return vectors.select(F.col(id_col), F.col(vec_col)).mapInArrow(run, f"id {id_type(vectors, id_col)}, image binary").withColumnRenamed("id", id_col)
+    return vectors.select(F.col(id_col), F.col(vec_col)).mapInArrow(lean(run), f"id {id_type(vectors, id_col)}, image binary").withColumnRenamed("id", id_col)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
