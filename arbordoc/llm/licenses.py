@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -43,18 +43,16 @@ CACHE = 50_000
 
 
 class Scanner:
-    """Finds notices in texts. templates: (licence, notice); tolerance: the largest share of a notice's words that may differ.
+    """Finds notices in texts. templates: (licence, notice); tolerance: the largest share of a notice's words that may differ, below 1.
 
-    A cue is a notice's most telling word pair (any pair of neighbours works: all are indexed), so every text that holds two neighbouring words of a notice has a candidate
-    block there: the words around the cues, as many on each side as the longest notice has, joined where they overlap. The text between cues is
-    never compressed; nothing else is skipped.
+    A notice with at most d differing words keeps all but 2 d of its pairs of neighbouring words, within as many words as it has and d more. Regions where that many
+    of its pairs lie, and each of its words that must not differ, are compared with it word by word, at any length of the text; nothing else can be confirmed. Where d
+    is so large that no pair need be left, its single words are counted instead.
     """
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, tolerance: float = 0.25, min_saving: float = 0.2):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, tolerance: float = 0.25):
         self.names = [n for n, _ in templates]
         self.words = [TOKEN.findall(t.lower()) for _, t in templates]
-        self.tolerance, self.min_saving = tolerance, min_saving
-        self.reach = max((len(w) for w in self.words), default=0)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.tuned = []
         for w in self.words:
@@ -65,63 +63,136 @@ class Scanner:
         for w in ("licen", "license", "releas", "permi", "redistrib", "public domain", "cc by", "cc0"):
             self.stems.add_word(w, w)
         self.stems.make_automaton()
-        self.pairs = {p for w in self.words for p in zip(w, w[1:])}
+        self.most = [int(tolerance * len(w)) for w in self.words]
+        self.fixed = [{x for x in w if self.telling(x)} for w in self.words]
+        # (pairs or words that must lie together, how far the first and the last of them may be apart)
+        self.need: list[tuple[int, int]] = []
+        self.pairs: dict[tuple[str, str], list[int]] = {}
+        self.single: dict[str, list[int]] = {}
+        for i, (w, d) in enumerate(zip(self.words, self.most)):
+            by_pair = len(w) - 1 - 2 * d >= 1
+            self.need.append((len(w) - 1 - 2 * d, len(w) + d - 2) if by_pair else (max(1, len(w) - d), len(w) + d - 1))
+            for x in set(zip(w, w[1:])) if by_pair else set(w):
+                (self.pairs if by_pair else self.single).setdefault(x, []).append(i)
         self.cache: dict[tuple[str, ...], list] = {}
 
+    @staticmethod
+    def telling(word: str) -> bool:
+        """A word that names a licence, or a number: with another one it is another licence."""
+        return word in NAMES or any(c.isdigit() for c in word)
+
+    def regions(self, words: list[str]) -> dict[int, list[list[int]]]:
+        """template -> regions of the words, as first and end, apart from each other, that hold whatever it could confirm."""
+        hits: dict[int, list[int]] = {}
+        for cues, found in ((self.pairs, zip(words, words[1:])), (self.single, words)):
+            if cues:
+                for k, x in enumerate(found):
+                    if x in cues:
+                        for i in cues[x]:
+                            hits.setdefault(i, []).append(k)
+        out: dict[int, list[list[int]]] = {}
+        for i, at in hits.items():
+            need, apart = self.need[i]
+            most = len(self.words[i]) + self.most[i]
+            for first, last in zip(at, at[need - 1 :]):
+                if last - first <= apart:
+                    a, b = max(0, last + 1 - most), min(len(words), first + most)
+                    if self.fixed[i].issubset(words[a:b]):
+                        own = out.setdefault(i, [])
+                        if own and a <= own[-1][1]:
+                            own[-1][1] = max(b, own[-1][1])
+                        else:
+                            own.append([a, b])
+        return out
+
     def blocks(self, text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
-        """Candidate blocks: (words, their spans in the text)."""
+        """Candidate blocks, the regions of all templates joined where they overlap: (words, their spans in the text)."""
         low = text.lower()
         if len(low) != len(text):  # a few letters change length when lower-cased; spans must fit the text
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         if next(self.stems.iter(low), None) is None:
             return []
-        found = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(low)]
-        words = [f[0] for f in found]
-        hits = [i for i, p in enumerate(zip(words, words[1:])) if p in self.pairs]
-        out, k = [], 0
-        while k < len(hits):
-            a, b = hits[k] - self.reach, hits[k] + 1 + self.reach
-            while k + 1 < len(hits) and hits[k + 1] - self.reach <= b:
-                k += 1
-                b = hits[k] + 1 + self.reach
-            a = max(0, a)
-            out.append((words[a : b + 1], [(s, e) for _, s, e in found[a : b + 1]]))
-            k += 1
-        return out
+        words = TOKEN.findall(low)
+        found = sorted(r for own in self.regions(words).values() for r in own)
+        if not found:
+            return []
+        spans = [m.span() for m in TOKEN.finditer(low)]
+        joined: list[list[int]] = []
+        for a, b in found:
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        return [(words[a:b], spans[a:b]) for a, b in joined]
 
-    def savings(self, words: list[str]) -> list[tuple[float, int]]:
-        """(share of the compressed size that a notice as dictionary saves, template), the most first; ties in the order of the templates."""
+    def saving(self, words: list[str], i: int) -> float:
+        """The share of the words' compressed size that a notice as dictionary saves."""
         raw = " ".join(words).encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(z.compress(raw)) / alone, i) for i, z in enumerate(self.tuned)), key=lambda x: (-x[0], x[1]))
-
-    def align(self, words: list[str], i: int) -> tuple[int, int, list[str], list[str]] | None:
-        """Where the notice's words lie best in words: (first, end, words of the notice that are missing, words that are extra in between)."""
-        t = self.words[i]
-        m = [b for b in SequenceMatcher(None, words, t, autojunk=False).get_matching_blocks() if b.size]
-        # leave out matches that are too far from the largest to belong to the same notice
-        if not m:
-            return None
-        core = max(m, key=lambda b: b.size)
-        m = [b for b in m if abs((b.a - b.b) - (core.a - core.b)) <= max(2, len(t) // 4)]
-        first, end = m[0].a, m[-1].a + m[-1].size
-        span = words[first:end]
-        missing, extra = [], []
-        for op, a, b, c, d in SequenceMatcher(None, span, t, autojunk=False).get_opcodes():
-            if op != "equal":
-                extra += span[a:b]
-                missing += t[c:d]
-        return first, end, missing, extra
+        return 1 - len(self.tuned[i].compress(raw)) / len(self.plain.compress(raw))
 
-    def same_licence(self, missing: list[str], extra: list[str]) -> bool:
-        """No word that names a licence, no number differs."""
-        return not any(w in NAMES or any(c.isdigit() for c in w) for w in (*missing, *extra))
+    def align(self, words: list[str], i: int) -> list[tuple[int, int, int]]:
+        """(differences, first, end) wherever the notice lies in the words with as few differences as are allowed, the fewest first, apart from each other.
+
+        An edit distance of missing and extra words whose beginning and end in the words are free; words that name a licence and numbers can be neither.
+        """
+        t, most = self.words[i], self.most[i]
+        skip = [most + 1 if x in self.fixed[i] else 1 for x in t]
+        costs, starts = [0], [0]
+        for s in skip:
+            costs.append(costs[-1] + s)
+            starts.append(0)
+        found = []
+        for e, w in enumerate(words, 1):
+            add = most + 1 if self.telling(w) else 1
+            new, begin = [0], [e]
+            for j, x in enumerate(t):
+                c, b = new[j] + skip[j], begin[j]
+                if costs[j + 1] + add < c:
+                    c, b = costs[j + 1] + add, starts[j + 1]
+                if x == w and costs[j] <= c:
+                    c, b = costs[j], starts[j]
+                new.append(c)
+                begin.append(b)
+            costs, starts = new, begin
+            if costs[-1] <= most and starts[-1] < e:
+                found.append((costs[-1], starts[-1], e))
+        out: list[tuple[int, int, int]] = []
+        for x in sorted(found):
+            if all(x[2] <= y[1] or x[1] >= y[2] for y in out):
+                out.append(x)
+        return out
+
+    def differences(self, span: list[str], i: int) -> tuple[list[str], list[str]]:
+        """The fewest words of the notice that are missing in the span, and words that are extra there."""
+        t, most = self.words[i], self.most[i]
+        rows = [[0] * (len(span) + 1) for _ in range(len(t) + 1)]
+        miss, add = ([most + 1 if self.telling(x) else 1 for x in part] for part in (t, span))
+        for j in range(len(t), -1, -1):
+            for k in range(len(span), -1, -1):
+                if j < len(t) or k < len(span):
+                    rows[j][k] = min(
+                        rows[j + 1][k] + miss[j] if j < len(t) else 1 << 30,
+                        rows[j][k + 1] + add[k] if k < len(span) else 1 << 30,
+                        rows[j + 1][k + 1] if j < len(t) and k < len(span) and t[j] == span[k] else 1 << 30,
+                    )
+        j = k = 0
+        missing, extra = [], []
+        while j < len(t) or k < len(span):
+            if j < len(t) and k < len(span) and t[j] == span[k] and rows[j][k] == rows[j + 1][k + 1]:
+                j, k = j + 1, k + 1
+            elif j < len(t) and rows[j][k] == rows[j + 1][k] + miss[j]:
+                missing.append(t[j])
+                j += 1
+            else:
+                extra.append(span[k])
+                k += 1
+        return missing, extra
 
     def scan_block(self, words: list[str]) -> list[tuple[int, int, int, float, list[str], list[str]]]:
         """(first, end, template, saving, missing, extra) of each notice in the block.
 
-        Templates that shorten it are tried in order of saving; the first that its words confirm wins, is taken out, and what lies before and
-        after it is scanned again, so a block with several notices gives all of them. Of confirmed notices of equal saving the one with fewest differences wins.
+        Of confirmed notices that overlap, the one with the smallest share of differences wins, then the longest, then the one that saves most as dictionary; savings rank
+        and never exclude. What lies between those found is scanned again, so a block with several notices gives all of them.
         """
         key = tuple(words)
         if (known := self.cache.get(key)) is not None:
@@ -130,27 +201,20 @@ class Scanner:
         while todo:
             lo, hi = todo.pop()
             part = words[lo:hi]
-            if len(part) < 2:
-                continue
-            best = None
-            own = set(zip(part, part[1:]))
-            for saving, i in self.savings(part):
-                t = self.words[i]
-                # on a block that is long beside the notice the saving of the whole is small: it only ranks there
-                if saving < self.min_saving * min(1, 2 * len(t) / len(part)) * 0.25 or not own.intersection(zip(t, t[1:])):
-                    continue
-                if (got := self.align(part, i)) is None:
-                    continue
-                first, end, missing, extra = got
-                if len(missing) + len(extra) > self.tolerance * len(t) or not self.same_licence(missing, extra):
-                    continue
-                rank = ((len(missing) + len(extra)) / len(t), -len(t), i)
-                if best is None or rank < best[0]:
-                    best = rank, first, end, i, saving, missing, extra
-            if best:
-                _, first, end, i, saving, missing, extra = best
-                out.append((lo + first, lo + end, i, saving, missing, extra))
-                todo += [(lo, lo + first), (lo + end, hi)]
+            found = []
+            for i, own in self.regions(part).items():
+                n = len(self.words[i])
+                for a, b in own:
+                    found += [(d / n, -n, -self.saving(part[a + first : a + end], i), i, a + first, a + end) for d, first, end in self.align(part[a:b], i)]
+            taken: list[tuple[int, int]] = []
+            for _, _, saving, i, first, end in sorted(found):
+                at = bisect_left(taken, (first, end))
+                if (at == len(taken) or taken[at][0] >= end) and (not at or taken[at - 1][1] <= first):
+                    taken.insert(at, (first, end))
+                    out.append((lo + first, lo + end, i, -saving, *self.differences(part[first:end], i)))
+            if taken:
+                ends = [0, *(x for pair in taken for x in pair), len(part)]
+                todo += [(lo + a, lo + b) for a, b in zip(ends[::2], ends[1::2]) if a < b]
         out.sort()
         if len(self.cache) > CACHE:
             self.cache.clear()
@@ -174,8 +238,8 @@ def scanner_of(templates: tuple[tuple[str, str], ...], tolerance: float) -> Scan
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, tolerance: float = 0.25) -> DataFrame:
     """One row per notice found: id, notice (its number in the text, from 0), start, end (code points), license, exact, missing, extra, saving.
 
-    Candidate blocks lie around pairs of neighbouring words that a template has; each is compressed alone and with every template as zstandard raw dictionary; templates
-    are ranked by the size they save, and a notice is confirmed by the exact differences of wording: at most `tolerance` of its words differ, and none that names a licence or is a number. missing and extra
+    Candidate blocks lie where a text holds enough pairs of neighbouring words of a template; a notice is confirmed by the exact differences of wording: at most `tolerance` of its words differ, and
+    none that names a licence or is a number. Its words are compressed alone and with the template as zstandard raw dictionary; the share saved is in the result, and ranks templates that fit equally well. missing and extra
     list the differing words; exact says there are none.
     Whole texts are read; equal blocks are judged once per worker (a bounded cache). Row-wise: no shuffle, so hot notices need no care.
     Null and empty texts have no notices; null ids and repeated rows pass through; an empty table gives an empty result; other columns are ignored.

@@ -133,6 +133,21 @@ def test_mixing_edge(edge, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_licenses_in_long_blocks():
+    s, rng = licenses.Scanner(), random.Random(5)
+    short = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."]
+    near = "Licensed under the terms of the Apache License, Version 2.0."
+    vocabulary = [f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(5000)]
+    prose = [w for _ in range(2500) for w in (*rng.choice(["of the", "to the", "with the", "that the", "of this"]).split(), rng.choice(vocabulary))]
+    for name, text in [*licenses.TEMPLATES, ("Apache-2.0", near)]:
+        got = s.scan(" ".join([*prose[:4000], text, *prose[4000:]]))
+        assert [(x[2], x[3]) for x in got] == [(name, text != near)]
+    packages = "".join(f"package {rng.choice(vocabulary)} of the project: {short[k % 3]} It comes with the sources, to the letter. " for k in range(200))
+    assert [(x[2], x[3]) for x in s.scan(packages)] == [(("MIT", "Apache-2.0", "GPL-3.0")[k % 3], True) for k in range(200)]
+    # another version that fits longer does not hide the notice that follows
+    assert [(x[2], x[3]) for x in s.scan("Licensed under the Apache License, Version 1.1. " + "of the " * 9 + near)] == [("Apache-2.0", False)]
+
+
 def test_licenses(spark, edge, empty):
     got = {(r.doc_id, r.license, r.exact): (r.start, r.end) for r in licenses.license_scan(edge).collect()}
     assert set(got) == {(8, "MIT", True), (9, "MIT", True)}
