@@ -6,7 +6,6 @@ import re
 from bisect import bisect_left
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -58,11 +57,6 @@ class Scanner:
         for w in self.words:
             d = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.tuned.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False))
-        # a stem of each word that tells licences: the text is tokenised only where one of them occurs
-        self.stems = ahocorasick.Automaton()
-        for w in ("licen", "license", "releas", "permi", "redistrib", "public domain", "cc by", "cc0"):
-            self.stems.add_word(w, w)
-        self.stems.make_automaton()
         self.most = [int(tolerance * len(w)) for w in self.words]
         self.fixed = [{x for x in w if self.telling(x)} for w in self.words]
         # (pairs or words that must lie together, how far the first and the last of them may be apart)
@@ -110,8 +104,6 @@ class Scanner:
         low = text.lower()
         if len(low) != len(text):  # a few letters change length when lower-cased; spans must fit the text
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        if next(self.stems.iter(low), None) is None:
-            return []
         words = TOKEN.findall(low)
         found = sorted(r for own in self.regions(words).values() for r in own)
         if not found:

@@ -148,6 +148,14 @@ def test_licenses_in_long_blocks():
     assert [(x[2], x[3]) for x in s.scan("Licensed under the Apache License, Version 1.1. " + "of the " * 9 + near)] == [("Apache-2.0", False)]
 
 
+def test_licenses_without_stems():
+    s = licenses.Scanner()
+    for text, want in (("Available under CC-BY-SA-4.0.", "CC-BY-SA-4.0"), ("This is free and unencumbered software put into the public\ndomain.", "Unlicense")):
+        assert [(x[2], x[3]) for x in s.scan("lorem ipsum " * 50 + text)] == [(want, False)]
+    own = (("X", "Dieses Werk darf frei kopiert werden"), ("Y", "Gemeinfrei"))
+    assert [(x[2], x[3]) for x in licenses.Scanner(own).scan("Hinweis: dieses Werk darf frei kopiert werden. Text. Gemeinfrei!")] == [("X", True), ("Y", True)]
+
+
 def test_licenses(spark, edge, empty):
     got = {(r.doc_id, r.license, r.exact): (r.start, r.end) for r in licenses.license_scan(edge).collect()}
     assert set(got) == {(8, "MIT", True), (9, "MIT", True)}
