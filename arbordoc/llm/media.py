@@ -17,6 +17,8 @@ MARGIN = REACH + 3
 TURNS = 36
 BITS = 256
 BANDS = 8
+#: Bytes of tests in a key, at any number of images: whether two images are linked must not depend on how many others there are.
+KEY_BYTES = 5
 #: Parts of a pixel, of a scale and of a turn that corners are stored in. Images must have fewer than 8192 pixels a side.
 UNITS = np.array([4, 4, 1000, 1000], np.float32)
 ONE = np.zeros(0, np.float32)
@@ -188,18 +190,12 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     return media.select(F.col(id_col), F.col(image_col)).mapInArrow(lean(run), f"id {id_type(media, id_col)}, geo binary, bits binary, n int")
 
 
-def key_bytes(images: int) -> int:
-    """Bytes of tests in a key: 5 up to 2**14 images, one more for each eightfold. Keys of different images that are equal by chance then grow about as the
-    number of images, not as its square; measured, a byte more leaves about a ninth of them."""
-    return min(4 * BANDS, 5 + max(0, -(-((max(1, images) - 1).bit_length() - 14) // 3)))
-
-
-def _table_keys(sets: DataFrame, width: int) -> DataFrame:
-    """(key, node), once for each corner that has the key: the Hamming tables. The key of table j is `width` bytes of a corner's tests, from the j-th of BANDS words on, around the end."""
+def _table_keys(sets: DataFrame) -> DataFrame:
+    """(key, node), once for each corner that has the key: the Hamming tables. The key of table j is KEY_BYTES bytes of a corner's tests, from the j-th of BANDS words on, around the end."""
     corner, table = F.floor(F.col("at") / BANDS), F.col("at") % BANDS
     at = sets.select("node", "bits", F.explode(F.sequence(F.lit(0), F.col("n") * BANDS - 1)).alias("at"))
     byte = lambda k: F.substring(F.col("bits"), (corner * 4 * BANDS + (table * 4 + k) % (4 * BANDS) + 1).cast("int"), F.lit(1))
-    return at.select(F.xxhash64(table, F.concat(*[byte(k) for k in range(width)])).alias("key"), "node")
+    return at.select(F.xxhash64(table, F.concat(*[byte(k) for k in range(KEY_BYTES)])).alias("key"), "node")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) -> DataFrame:
@@ -250,7 +246,7 @@ def _cross_pairs(active: DataFrame, block: int) -> DataFrame:
 def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 4, votes: int = 2, block: int = 2048, filter_bits: int = 24, rounds: int = 4) -> DataFrame:
     """One row per input row: id, n_corners, class_id, the smallest id among the images that are linked to it, directly or through others.
 
-    Two images are linked if they share at least `votes` keys of the Hamming tables (8 keys for each corner, of 40 tests or more: see key_bytes) and at least `least` matching corners (at most
+    Two images are linked if they share at least `votes` keys of the Hamming tables (8 keys for each corner, of 40 tests at any number of images) and at least `least` matching corners (at most
     most_bits of 256 tests differ) agree on one shift, turn and scale: cropped, shifted, turned, resized, brighter or partly covered copies.
 
     1. Corners and tests are computed row by row. Images with the same corners and tests are one node, so exact copies never meet in a table.
@@ -268,7 +264,7 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     low = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("low")
     sets = stash(named.groupBy("set").agg(low, F.first("geo").alias("geo"), F.first("bits").alias("bits"), F.first("n").alias("n")).withColumn("node", F.col("low.row")), "media-sets")
     # a key is shared if it has two different nodes; the keys are made twice from the corners, which is cheaper than to write them all
-    keys = _table_keys(sets, key_bytes(sets.count()))
+    keys = _table_keys(sets)
     shared = stash(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "media-shared")
     whole = with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").distinct()
     whole = stash(whole.join(shared, "key", "left_semi"), "media-table")

@@ -331,6 +331,21 @@ def test_media_classes(spark):
     assert media.media_copies(df.where("false"), "doc_id", "img").count() == 0
 
 
+def test_media_links_do_not_depend_on_size(spark, monkeypatch):
+    # two images whose four corners have just the first 40 tests alike, and one test of each later byte differing, among more than 2**14 others
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 256, (4, 32), dtype=np.uint8)
+    two = one.copy()
+    two[:, 5:] ^= 1
+    geo = media.to_units(np.array([[20, 20, 1, 0], [20, 70, 1, 0], [70, 20, 1, 0], [70, 70, 1, 0]], np.float32)).tobytes()
+    others = rng.integers(0, 256, (16_500, 32), dtype=np.uint8)
+    rows = [(0, bytearray(geo), bytearray(one.tobytes()), 4), (1, bytearray(geo), bytearray(two.tobytes()), 4)]
+    rows += [(i, bytearray(geo[:8]), bytearray(b.tobytes()), 1) for i, b in enumerate(others, 2)]
+    monkeypatch.setattr(media, "features", lambda m, i, c: m)
+    got = {r.id: r.class_id for r in media.media_copies(spark.createDataFrame(rows, "id long, geo binary, bits binary, n int"), "id", "geo").collect()}
+    assert got == {i: i if i > 1 else 0 for i in range(len(rows))}
+
+
 def test_components(spark):
     from arbordoc.llm.graph import components
 
