@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -168,7 +170,9 @@ def read_pgm(blob: bytes | None) -> np.ndarray | None:
 
 
 def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """(id, geo, bits, n): the corners of every image as two binary columns. Row-wise; images of one size are worked on together."""
+    """(id, geo, bits, n): the corners of every image as two binary columns. Row-wise; images of one size are worked on together.
+
+    Of an image without corners, bits is the SHA-256 of its bytes; null images have neither."""
 
     def run(batches):
         for b in batches:
@@ -185,7 +189,8 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
                     for k in range(0, len(own), step):
                         for i, d in zip(own[k : k + step], describe(np.stack([images[j] for j in own[k : k + step]]))):
                             out[i] = d
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_units(g).tobytes() for g, _ in out], pa.binary()), pa.array([d.tobytes() for _, d in out], pa.binary()), pa.array([len(g) for g, _ in out], pa.int32())], names=["id", "geo", "bits", "n"])
+                bits = [d.tobytes() if len(g) or not x.is_valid else hashlib.sha256(x.as_py()).digest() for (g, d), x in zip(out, part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_units(g).tobytes() for g, _ in out], pa.binary()), pa.array(bits, pa.binary()), pa.array([len(g) for g, _ in out], pa.int32())], names=["id", "geo", "bits", "n"])
 
     return media.select(F.col(id_col), F.col(image_col)).mapInArrow(lean(run), f"id {id_type(media, id_col)}, geo binary, bits binary, n int")
 
@@ -256,7 +261,7 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     4. When rounds join little, are used up or few pairs are left, the whole table is gone through again, in blocks: all pairs that share enough keys and not yet a
        class are verified. So no link between classes is missed: no cap, no sampling.
 
-    Images that can't be read, are null, flat or too small have no corners and are classes of their own, null ids included (class_id null). Repeated rows share a class.
+    Images that can't be read, are flat, too small or too large have no corners; those of the same bytes share a class. Null images are classes of their own, null ids included (class_id null). Repeated rows share a class.
     An empty table gives an empty result. Other columns are ignored. image_col: binary PGM of 8 bits.
     """
     rows = stash(features(media, id_col, image_col).withColumn("row", F.monotonically_increasing_id()), "media-features")
@@ -297,8 +302,10 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     where = where.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else where.withColumn("root", F.col("node"))
     where = stash(where, "media-where")
     named_class = stash(where.select("set", "root").join(where.groupBy("root").agg(F.min("low").alias("low")), "root").select("set", F.col("low.id").alias("class_id")), "media-classes")
-    out = rows.withColumn("set", F.when(F.col("n") > 0, F.sha2(F.concat("geo", "bits"), 256))).select("id", "n", "set").join(named_class, "set", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_corners"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    plain = rows.where("n = 0 and length(bits) > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
+    named_class = named_class.unionByName(plain.groupBy("set").agg(low).select("set", F.col("low.id").alias("class_id")))
+    out = rows.withColumn("set", F.when(F.length("bits") > 0, F.sha2(F.concat("geo", "bits"), 256))).select("id", "n", "set").join(named_class, "set", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_corners"), F.when(F.col("set").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
 
 SIDE, TILE = 96, 4

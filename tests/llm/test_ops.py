@@ -346,6 +346,14 @@ def test_media_links_do_not_depend_on_size(spark, monkeypatch):
     assert got == {i: i if i > 1 else 0 for i in range(len(rows))}
 
 
+def test_media_copies_without_corners(spark):
+    blank, icon = media.pgm(np.zeros((96, 96))), media.pgm(np.arange(256).reshape(16, 16))
+    rows = [(5, blank), (4, blank), (None, blank), (9, icon), (8, icon), (6, b"no image"), (7, b"no image"), (3, media.pgm(np.ones((96, 96)))), (1, None), (2, None)]
+    df = spark.createDataFrame([(i, x and bytearray(x)) for i, x in rows], "id long, img binary")
+    got = {r.id: (r.n_corners, r.class_id) for r in media.media_copies(df, "id", "img").collect()}
+    assert got == {i: (0, c) for i, c in ((5, 4), (4, 4), (None, 4), (9, 8), (8, 8), (6, 6), (7, 6), (3, 3), (1, 1), (2, 2))}
+
+
 def test_components(spark):
     from arbordoc.llm.graph import components
 
