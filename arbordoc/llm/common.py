@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 #: The six characters of [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
@@ -22,10 +26,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, local mode) a temporary folder is made and set as the checkpoint folder.
+    Where the session names none, a local master (tests) gets a temporary folder of its own; any other master is an error, since executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(shared_root, "own", None)
         if root is None:
             root = shared_root.own = "file://" + tempfile.mkdtemp(prefix="arbordoc-")
@@ -33,12 +39,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _on_store(spark: SparkSession, path: str, what: str, *args) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), what)(p, *args)
+
+
+#: Paths of the written tables, in the order in which they were made.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder, deleted when the driver's JVM ends."""
+    """A new path under the shared folder, deleted when a surrounding `scratch` ends, else when the driver's JVM ends."""
     path = f"{shared_root(spark)}/arbordoc/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _on_store(spark, path, "deleteOnExit")
+    _made.append(path)
     return path
 
 
@@ -47,7 +61,59 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that were written inside, but for those that the function it gives was called with (a stash each).
+
+    What is kept must not be computed from another of them any more, which a stash isn't. So the disk holds one step's tables at a time.
+    """
+    before, kept = len(_made), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.stashed_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        own, _made[before:] = _made[before:], []
+        for path in own:
+            if path in kept:
+                _made.append(path)
+            else:
+                _on_store(spark, path, "delete", True)
+
+
+def numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """docs with its columns named c0, c1, ... and a column `row` that tells rows apart and stays the same at each reading.
+
+    For a plain scan of files that is the place of the row in its file, and nothing is written; other tables are written with a number.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    if _is_scan(docs._jdf.queryExecution().analyzed()):
+        meta = docs.metadataColumn("_metadata")
+        place = F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("at"))
+        try:
+            return docs.select(*[docs[f"`{c.replace('`', '``')}`"].alias(n) for c, n in zip(docs.columns, names)], place.alias("row"))
+        except AnalysisException:  # files without places for their rows
+            pass
+    return stash(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), tag)
+
+
+def _is_scan(plan) -> bool:
+    """Does the plan only choose columns and rows of the files under one path? Then no row comes out twice."""
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().location().rootPaths().size() == 1 and plan.relation().fileFormat().toString() == "Parquet"
 
 
 def slot_of(bits: int, *cols: Column | str) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, load, stash
+from .common import WORD, load, numbered, scratch, stash
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -34,25 +34,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     return s.select("source", "n", F.when(F.col("f").isNull(), F.col("c")).otherwise(F.least("c", share)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, size, source_size, target, copies, taken (= copies * size), and the columns named in extra.
-
-    Every document of a source has the same expected number of copies, target / source_size (at most cap). Within a source, documents lie by size,
-    then id; the prefix sum of expected copies plus one random offset of the source gives floor(after) - floor(before) copies. As sizes
-    rise along the line, the words taken differ from the target by less than the source's longest document.
-
-    The line is not built in one task: rows are range-partitioned and sorted by (source, size, id), numbered inside their partition, and each (partition, source)
-    gets the number of rows before it. Reruns agree, since a row's number doesn't depend on how the partitions were cut.
-    Nulls: a null text has size 0; null sources form one source; null ids come first. Repeated rows count each.
-    An empty table gives an empty result; a source of size 0 gets target 0 and no copies.
-    """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stash(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_s"), size.alias("_z"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)]), "mix-sizes")
-    per = rows.groupBy(F.col("_s").alias("source")).agg(F.sum("_z").alias("n"))
-    targets = source_targets(per, weights, cap)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    line = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, "_s", "_z", "_id", "_tie").sortWithinPartitions("_s", "_z", "_id", "_tie")
-    line = stash(line.withColumn("_at", F.monotonically_increasing_id()), "mix-line").withColumn("_p", F.shiftright("_at", 33))
+def _line(rows: DataFrame, weights: tuple[float, ...], cap: int, seed: str) -> DataFrame:
+    """rows (_id, _s source, _z size, _row) with _sn, the source's size, its _target and each row's _copies. See mix."""
+    spark = rows.sparkSession
+    with scratch(spark) as keep:
+        rows = stash(rows, "mix-sizes")
+        targets = keep(stash(source_targets(rows.groupBy(F.col("_s").alias("source")).agg(F.sum("_z").alias("n")), weights, cap), "mix-targets"))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        line = rows.repartitionByRange(n, "_s", "_z", "_id", "_row").sortWithinPartitions("_s", "_z", "_id", "_row")
+        line = keep(stash(line.withColumn("_at", F.monotonically_increasing_id()), "mix-line")).withColumn("_p", F.shiftright("_at", 33))
     starts = line.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
     starts = starts.withColumn("_before", F.sum("_n").over(W.partitionBy("_s").orderBy("_p")) - F.col("_n"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("\0null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -62,22 +52,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     k = (F.col("_before") + F.col("_at") - F.col("_from")).cast("double")
     r = F.when(F.col("_sn") > 0, F.col("_target") / F.col("_sn")).otherwise(F.lit(0.0))
     copies = (F.floor((k + 1) * r + F.col("_u")) - F.floor(k * r + F.col("_u"))).cast("long")
-    return j.withColumn("copies", copies).select(
-        F.col("_id").alias(id_col), F.col("_z").alias("size"), F.col("_sn").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("_z")).alias("taken"), *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)]
-    )
+    return j.select("_id", "_row", "_z", "_sn", "_target", copies.alias("_copies"))
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_z")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """One row per input row: id, size, source_size, target, copies, taken (= copies * size). Other columns are ignored.
+
+    Every document of a source has the same expected number of copies, target / source_size (at most cap). Within a source, documents lie by size,
+    then id; the prefix sum of expected copies plus one random offset of the source gives floor(after) - floor(before) copies. As sizes
+    rise along the line, the words taken differ from the target by less than the source's longest document.
+
+    The line is not built in one task: narrow rows (source, size, id) are range-partitioned and sorted, numbered inside their partition, and each (partition, source)
+    gets the number of rows before it. Reruns agree, since a row's number doesn't depend on how the partitions were cut.
+    Nulls: a null text has size 0; null sources form one source; null ids come first. Repeated rows count each.
+    An empty table gives an empty result; a source of size 0 gets target 0 and no copies.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_s"), _size(F.col(text_col)), F.monotonically_increasing_id().alias("_row"))
+    m = _line(rows, weights, cap, seed)
+    return m.select(F.col("_id").alias(id_col), F.col("_z").alias("size"), F.col("_sn").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_z")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: every input column, each row as often as the mix takes it (0 to cap times).
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: every input column, each row as often as the mix takes it (0 to cap times). For nulls, ties and empty tables see mix.
 
-    The whole rows are carried through the sort by (source, size, id), since ids need not be unique.
+    Only narrow rows go through the sort; the numbers of copies meet the whole rows in one join by the place of the row, since ids need not be unique.
     """
-    cols = docs.columns
-    m = mix(docs, extra=tuple(cols), **kw)
-    # positional names keep apart what the operator adds and what the table already has
-    m = m.toDF("_id", "_size", "_source_size", "_target", "_copies", "_taken", *[f"_y{i}" for i in range(len(cols))])
-    m = m.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return m.select(*[F.col(f"_y{i}").alias(c) for i, c in enumerate(cols)])
+    d = numbered(docs, "mix-docs")
+    of = dict(zip(docs.columns, d.columns))
+    rows = d.select(F.col(of[id_col]).alias("_id"), F.col(of[source_col]).cast("string").alias("_s"), _size(F.col(of[text_col])), F.col("row").alias("_row"))
+    taken = _line(rows, weights, cap, seed).where("_copies > 0").select(F.col("_row").alias("row"), F.col("_copies").cast("int").alias("_copies"))
+    out = d.join(taken, "row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*of.values()).toDF(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

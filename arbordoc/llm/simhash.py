@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_type, lean, load, stash, with_hit
+from .common import bitmap, id_type, lean, load, numbered, scratch, stash, with_hit
 from .graph import components
 
 BITS = 64
@@ -37,7 +37,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, row: Column) -> DataFrame:
-    """(id, row, fp): the fingerprint of every whole text as a signed 64-bit integer."""
+    """(id, row, fp): the fingerprint of every whole text as a signed 64-bit integer. row: what tells rows apart."""
 
     def run(batches):
         for b in batches:
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, row:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "row", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("t"))
-    return narrow.mapInArrow(lean(run), f"id {id_type(docs, id_col)}, row long, fp long")
+    return narrow.mapInArrow(lean(run), f"id {id_type(docs, id_col)}, row {id_type(narrow, 'row')}, fp long")
 
 
 def scheme(distinct: int, radius: int) -> list[tuple[int, ...]]:
@@ -140,11 +140,12 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 4096, filter_bits:
 def _classes(rows: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id, head): the class of every fingerprint; head is the number of the row that stays. rows: (id, row, fp), written."""
     # of a class, the smallest id (null last) gives component_id, and the first of its rows is the one to keep
-    nodes = stash(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("low")), "simhash-nodes")
-    roots = stash(components(near_links(nodes.select("fp"), radius), "simhash-cc"), "simhash-roots").withColumnRenamed("node", "fp")
-    rooted = stash(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
-    low = rooted.groupBy("root").agg(F.min("low").alias("low"))
-    return stash(rooted.select("fp", "root").join(low, "root").select("fp", F.col("low.id").alias("component_id"), F.col("low.row").alias("head")), "simhash-classes")
+    with scratch(rows.sparkSession) as keep:
+        nodes = stash(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("low")), "simhash-nodes")
+        roots = stash(components(near_links(nodes.select("fp"), radius), "simhash-cc"), "simhash-roots").withColumnRenamed("node", "fp")
+        rooted = stash(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+        low = rooted.groupBy("root").agg(F.min("low").alias("low"))
+        return keep(stash(rooted.select("fp", "root").join(low, "root").select("fp", F.col("low.id").alias("component_id"), F.col("low.row").alias("head")), "simhash-classes"))
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -164,12 +165,12 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs with one row of each class: the one with the smallest id, or one of them if rows repeat an id. All columns stay as they are; for nulls see simhash_classes."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    numbered = stash(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "simhash-docs")
-    of = dict(zip(docs.columns, names))
-    rows = stash(fingerprints(numbered, of[id_col], of[text_col], shingle, F.col("row")), "simhash-rows")
-    heads = _classes(rows, radius).select(F.col("head").alias("row")).distinct()
-    return numbered.join(heads, "row", "left_semi").select(*names).toDF(*docs.columns)
+    d = numbered(docs, "simhash-docs")
+    of = dict(zip(docs.columns, d.columns))
+    with scratch(docs.sparkSession) as keep:
+        rows = stash(fingerprints(d, of[id_col], of[text_col], shingle, F.col("row")), "simhash-rows")
+        heads = keep(stash(_classes(rows, radius).select(F.col("head").alias("row")), "simhash-heads"))
+    return d.join(heads, "row", "left_semi").select(*of.values()).toDF(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
