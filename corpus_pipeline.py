@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordoc.llm.bpe import round_trip
-from arbordoc.llm.common import load, stash
+from arbordoc.llm.common import load, scratch, stash
 from arbordoc.llm.line_dedup import line_dedup
 from arbordoc.llm.mixing import mixed_rows
 from arbordoc.llm.simhash import simhash_dedup
@@ -55,10 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; what a stage keeps is written as Parquet into the shared folder and read again."""
+    """All stages on documents; what a stage keeps is written as Parquet into the shared folder and read again, and the tables that it needed are deleted."""
     docs = load(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(stash(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
