@@ -63,7 +63,9 @@ class Writer:
         docs, per = sink.getvalue().to_pybytes(), np.concatenate(self.per)
         self.out.write(per.tobytes() + docs + TAIL.pack(self.tokens, self.words, len(per), len(table), len(docs), per.nbytes, MAGIC))
         self.out.close()
-        self.fs.move(self.temp, self.path)  # a second attempt of the task writes the same bytes again
+        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:  # an attempt before wrote the same bytes; not every store moves onto a file
+            self.fs.delete_file(self.path)
+        self.fs.move(self.temp, self.path)
         return len(table), self.tokens, len(MAGIC) + 8 * self.words + per.nbytes + len(docs) + TAIL.size
 
 
@@ -101,21 +103,21 @@ def read_file(uri: str, blocks: int = 512):
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, root: str | None = None) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes the ids in ascending id order. Returns file, uri, n_docs, n_tokens, n_bytes per file.
 
-    Rows are range-partitioned by id (null first) and sorted; each task writes one file, batch by batch, and file numbers follow the ids. root: a folder that
+    Rows are range-partitioned by id (null first) and sorted by id, then text, so that every attempt of a task has them in one order; each task writes one file, batch by batch, and file numbers follow the ids. root: a folder that
     all executors share (default: one under spark.checkpoint.dir). A lost executor's task runs again and replaces its file by an equal one.
-    A null or empty text is just end_id. Rows that repeat an id stay apart. An empty table gives no file with documents. Other columns are ignored.
+    A null or empty text is just end_id. Rows that repeat an id stay apart, in the order of their texts. An empty table gives no file with documents. Other columns are ignored.
     """
     spark = docs.sparkSession
     path, root = vocabulary or default_vocabulary(), root or shared_path(spark, "tokens")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).repartitionByRange(n, "i").sortWithinPartitions("i")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).repartitionByRange(n, "i").sortWithinPartitions("i", "t")
 
     def run(batches):
         bpe, part = bpe_of(path), TaskContext.get().partitionId()
         name, w = f"tokens-{part:06d}.s8b", None
         for b in batches:
             for p in portions(b, 1):
-                ids, k = bpe.encode([t or "" for t in p.column(1).to_pylist()])
+                ids, k = bpe.encode(p.column(1))
                 full = np.full(len(ids) + len(k), end_id, np.uint32)
                 ends = np.cumsum(k + 1) - 1
                 inner = np.ones(len(full), bool)
@@ -130,8 +132,10 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return stash(rows.mapInArrow(lean(run), "file long, uri string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
 
 
-def read_tokens(manifest: DataFrame, id_type_name: str = "long") -> DataFrame:
-    """From the files: id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32. One task reads one file, some blocks at a time."""
+def read_tokens(manifest: DataFrame, id_col: str = "doc_id", id_type_name: str = "long") -> DataFrame:
+    """From the files: id_col, start (ids of all documents before it), n_tokens (with the end id), ids_crc32. One task reads one file, some blocks at a time.
+
+    Null and repeated ids come back as they were written; a manifest without files gives an empty result."""
 
     def run(batches):
         for b in batches:
@@ -166,7 +170,7 @@ def read_tokens(manifest: DataFrame, id_type_name: str = "long") -> DataFrame:
     # one row per file: as many as write_tokens had partitions
     before = manifest.select("file", (F.sum("n_tokens").over(W.orderBy("file")) - F.col("n_tokens")).alias("before"))
     out = rows.join(F.broadcast(before), "file")
-    return out.select("i", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return out.select(F.col("i").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _one(a: pa.ChunkedArray) -> pa.Array:
@@ -175,4 +179,5 @@ def _one(a: pa.ChunkedArray) -> pa.Array:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return read_tokens(write_tokens(docs), id_type(docs, "doc_id")).withColumnRenamed("i", "doc_id")
+    """All of documents, written as token files and read back. Null texts are empty; see write_tokens."""
+    return read_tokens(write_tokens(docs), "doc_id", id_type(docs, "doc_id"))
