@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import id_type, lean, load
 
-#: Short notices of public licences, by SPDX identifier. One licence may have several notices.
+#: The texts and notices of public licences, by SPDX identifier. One licence may have several notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -34,6 +33,46 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
+        "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+        "CONTRIBUTORS",
+    ),
 )
 #: Words that name a licence. A change of one is another licence, never a variant of wording.
 NAMES = frozenset("apache bsd mit isc mpl mozilla gnu gpl lgpl agpl lesser affero general cc cc0 by nc nd sa public domain unencumbered clause universal software redistribution not no except".split())
@@ -180,33 +219,52 @@ class Scanner:
                 k += 1
         return missing, extra
 
+    def reduction(self, words: list[str], i: int) -> int:
+        """The bytes by which a notice as raw dictionary makes the compressed words smaller."""
+        raw = " ".join(words).encode()
+        return len(self.plain.compress(raw)) - len(self.tuned[i].compress(raw))
+
+    def best(self, words: list[str], limit: int) -> tuple[int, int, int] | None:
+        """(template, first, end) of the winner in a window, of notices that begin before limit.
+
+        Each region is a candidate block: it is compressed alone and with its template as dictionary. In falling order of the bytes saved (then the longer template, then
+        the first in the list) blocks are held against their template word by word, and the first one confirmed wins, where it has the fewest differences.
+        """
+        ranked = []
+        for i, own in self.regions(words).items():
+            for a, b in own:
+                if a < limit:
+                    ranked.append((-self.reduction(words[a:b], i), -len(self.words[i]), i, a, b))
+        for _, _, i, a, b in sorted(ranked):
+            for _, first, end in self.align(words[a:b], i):
+                if a + first < limit:
+                    return i, a + first, a + end
+        return None
+
     def scan_block(self, words: list[str]) -> list[tuple[int, int, int, float, list[str], list[str]]]:
         """(first, end, template, saving, missing, extra) of each notice in the block.
 
-        Of confirmed notices that overlap, the one with the smallest share of differences wins, then the longest, then the one that saves most as dictionary; savings rank
-        and never exclude. What lies between those found is scanned again, so a block with several notices gives all of them.
+        The block is gone through in windows of twice the longest notice that could lie there, each beginning where the one before has its middle, so every notice lies whole
+        in the window whose first half it begins in. When a winner is found, what lies before it and after it is gone through again, so a block with
+        several notices gives all of them, in time in proportion to its length.
         """
         key = tuple(words)
         if (known := self.cache.get(key)) is not None:
             return known
-        out, todo = [], [(0, len(words))]
+        span = max((len(self.words[i]) + self.most[i] for i in self.regions(words)), default=0)
+        out, todo = [], [(0, len(words))] if span else []
         while todo:
             lo, hi = todo.pop()
-            part = words[lo:hi]
-            found = []
-            for i, own in self.regions(part).items():
-                n = len(self.words[i])
-                for a, b in own:
-                    found += [(d / n, -n, -self.saving(part[a + first : a + end], i), i, a + first, a + end) for d, first, end in self.align(part[a:b], i)]
-            taken: list[tuple[int, int]] = []
-            for _, _, saving, i, first, end in sorted(found):
-                at = bisect_left(taken, (first, end))
-                if (at == len(taken) or taken[at][0] >= end) and (not at or taken[at - 1][1] <= first):
-                    taken.insert(at, (first, end))
-                    out.append((lo + first, lo + end, i, -saving, *self.differences(part[first:end], i)))
-            if taken:
-                ends = [0, *(x for pair in taken for x in pair), len(part)]
-                todo += [(lo + a, lo + b) for a, b in zip(ends[::2], ends[1::2]) if a < b]
+            end = min(hi, lo + 2 * span)
+            got = self.best(words[lo:end], end - lo if end == hi else span)
+            if got is None:
+                if end < hi:
+                    todo.append((lo + span, hi))
+                continue
+            i, first, last = got
+            found = words[lo + first : lo + last]
+            out.append((lo + first, lo + last, i, self.saving(found, i), *self.differences(found, i)))
+            todo += [(a, b) for a, b in ((lo, lo + first), (lo + last, hi)) if a < b]
         out.sort()
         if len(self.cache) > CACHE:
             self.cache.clear()
@@ -230,9 +288,10 @@ def scanner_of(templates: tuple[tuple[str, str], ...], tolerance: float) -> Scan
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, tolerance: float = 0.25) -> DataFrame:
     """One row per notice found: id, notice (its number in the text, from 0), start, end (code points), license, exact, missing, extra, saving.
 
-    Candidate blocks lie where a text holds enough pairs of neighbouring words of a template; a notice is confirmed by the exact differences of wording: at most `tolerance` of its words differ, and
-    none that names a licence or is a number. Its words are compressed alone and with the template as zstandard raw dictionary; the share saved is in the result, and ranks templates that fit equally well. missing and extra
-    list the differing words; exact says there are none.
+    Candidate blocks lie where a text holds enough pairs of neighbouring words of a template. Each block is compressed with its templates as zstandard raw dictionaries; the
+    one that makes it smaller by the most bytes comes first, and wins if exact differences of wording confirm it: at most `tolerance` of its words differ, and none that
+    names a licence or is a number; else the next one follows. missing and extra list the differing words, exact says there are none, saving is the share
+    of the notice's own compressed size that the template saves. Equal savings: the longer template, then the first in the list.
     Whole texts are read; equal blocks are judged once per worker (a bounded cache). Row-wise: no shuffle, so hot notices need no care.
     Null and empty texts have no notices; null ids and repeated rows pass through; an empty table gives an empty result; other columns are ignored.
     """
@@ -254,4 +313,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notice in documents, whole texts. See license_scan."""
     return license_scan(load(spark, sf_dir, "documents"))
