@@ -22,7 +22,9 @@ def json_path(*steps: Step) -> str:
 
 
 def path_get(json: Column, *steps: Step, to: str = "string") -> Column:
-    """The scalar at a path of JSON text, NULL if missing (JSON null too)."""
+    """The scalar at a path of JSON text, NULL if missing (JSON null too). Keys that JSON paths can't write (with an apostrophe or a question mark, "*", "") go through VARIANT."""
+    if any(isinstance(s, str) and (s in ("", "*") or "'" in s or "?" in s) for s in steps):
+        return F.try_variant_get(F.try_parse_json(json), json_path(*steps), "string").cast(to)
     path = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
     return F.get_json_object(json, path).cast(to)
 
@@ -34,7 +36,9 @@ def variant_at(v: Column, *steps: Step, to: str = "variant") -> Column:
 
 def has_key(v: Column, key: str) -> Column:
     """Is the key there, with JSON null too?"""
-    return F.coalesce(F.array_contains(F.json_object_keys(F.to_json(v)), key), F.lit(False))
+    if '"' in key:  # no path can write it
+        return F.coalesce(F.array_contains(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), key), F.lit(False))
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & variant_at(v, key).isNotNull()
 
 
 def is_json_null(v: Column, *steps: Step) -> Column:
@@ -84,5 +88,6 @@ def string_has_prefix(v: Column, prefix: str) -> Column:
 
 def child_count(v: Column) -> Column:
     """Children of a list or entries of a map; 0 for scalars."""
-    j, kind = F.to_json(v), F.schema_of_variant(v)
-    return F.when(kind.startswith("ARRAY"), F.json_array_length(j)).when(kind.startswith("OBJECT"), F.size(F.json_object_keys(j))).otherwise(0).cast("long")
+    kind = F.schema_of_variant(v)
+    n = F.when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>"))).when(kind.startswith("OBJECT"), F.size(F.try_variant_get(v, "$", "map<string,variant>")))
+    return n.otherwise(0).cast("long")

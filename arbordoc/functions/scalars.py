@@ -42,7 +42,7 @@ def from_zigzag(z: Column) -> Column:
 
 
 def split_number(x: Column) -> Column:
-    """struct(base, exp) with x = base * 10**exp and no trailing zeros in base; for integers (a single digit keeps exp 0)."""
+    """struct(base, exp) with x = base * 10**exp and no trailing zeros in base; for integers (a single digit keeps exp 0). For fractions see split_fraction."""
     digits = x.cast("string")
     zeros = F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))
     one = F.abs(x) < 10
@@ -52,6 +52,19 @@ def split_number(x: Column) -> Column:
     )
 
 
+def split_fraction(x: Column) -> Column:
+    """The same for doubles: 14 significant digits (15 for the very large or small), rounded from the shortest digits that tell the double. NULL for NaN and the infinities."""
+    x = x.cast("double")
+    near = (F.abs(x) >= 1e-6) & (F.abs(x) < 1e14)
+    text = F.when(near, F.format_string("%.13e", x)).otherwise(F.format_string("%.14e", x))
+    digits = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)e", 1), r"\.", "")
+    bare = F.regexp_replace(digits, "0+$", "")
+    exp = F.regexp_extract(text, r"e([-+][0-9]+)$", 1).cast("int") - F.when(near, 13).otherwise(14) + F.length(digits) - F.length(bare)
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    told = F.when(whole, split_number(F.when(whole, x).cast("long"))).otherwise(F.struct(bare.cast("long").alias("base"), exp.cast("long").alias("exp")))
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(told)
+
+
 def varint_size(v: Column) -> Column:
     """Bytes of the binary form's tag and number: three bits in the first, seven in each further one."""
     out = F.when(v < 8, F.lit(1))
@@ -91,7 +104,7 @@ def byte_length(s: Column) -> Column:
 
 
 def identity_key(v: Column) -> Column:
-    """A key that is equal for equal values: digest of the JSON text with the type before it."""
+    """A key that is equal for equal values: digest of the JSON text with the type before it. A VARIANT doesn't keep the order of keys; where that counts, use documents.doc_identity."""
     return F.sha2(F.concat(F.schema_of_variant(v), F.lit(":"), F.to_json(v)), 256)
 
 

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lookup import sorted_rank
+
 
 def layout_of(j: Column) -> Column:
-    """The ordered keys of a JSON object as one text; order counts."""
-    return F.array_join(F.json_object_keys(j), ",")
+    """The keys of a JSON object in their order, which counts."""
+    return F.json_object_keys(j)
 
 
 def layout_catalogue(df: DataFrame, json_col: str) -> DataFrame:
-    """layout, n_docs, layout_id (0, 1, ... in byte order): one row per layout. Counting combines on the map side; the numbering sees layouts only."""
-    per = df.select(layout_of(F.col(json_col)).alias("layout")).where("layout is not null").groupBy("layout").agg(F.count(F.lit(1)).alias("n_docs"))
-    return per.withColumn("layout_id", (F.dense_rank().over(W.orderBy("layout")) - 1).cast("long"))
+    """layout (keys joined by commas), keys, n_docs, layout_id (0, 1, ... in byte order of layout, then keys): one row per layout.
+
+    Layouts are told apart by their keys, not by the joined text. Counting combines on the map side; the numbering sees layouts only, range-partitioned.
+    """
+    per = df.select(layout_of(F.col(json_col)).alias("keys")).where("keys is not null").groupBy("keys").agg(F.count(F.lit(1)).alias("n_docs"))
+    return sorted_rank(per.select(F.array_join("keys", ",").alias("layout"), "keys", "n_docs"), "layout", "keys", rank="layout_id")
 
 
 def value_catalogue(df: DataFrame, value_cols: list[str], order_col: str) -> DataFrame:

@@ -305,7 +305,7 @@ def prefix_catalogue(s, d):
 
 @query(PARTS + ", l as (select array_to_string(json_keys(j), ',') layout, count(*) n_docs from t group by 1) select layout, n_docs, (dense_rank() over (order by layout) - 1)::bigint layout_id from l")
 def layout_share(s, d):
-    return layouts.layout_catalogue(part_docs(s, d), "j")
+    return layouts.layout_catalogue(part_docs(s, d), "j").drop("keys")
 
 
 @query("select p_brand, p_size, min(p_partkey) as first, count(*) uses from part group by 1, 2")
@@ -364,6 +364,24 @@ def codec_prefix(s, d):
     return e.select("n_regionkey", "key", F.col("v").cast("long").alias("v"))
 
 
+@query("select n_regionkey, n_name as key, n_nationkey::varchar as value from nation")
+def encoding_entries(s, d):
+    p = _nation_map(s, d).select("n_regionkey", documents.doc_encode(F.col("j"), "binary", Options(index_over=1)).alias("p"))
+    return inspection.encoding_entries(p, "n_regionkey", "p", fmt="binary").select("n_regionkey", "key", "value")
+
+
+@query("select n_regionkey, n_name as key, n_nationkey::varchar as value from nation where starts_with(n_name, 'NATION_2')")
+def encoding_keys_filtered(s, d):
+    p = _nation_map(s, d).select("n_regionkey", documents.doc_encode(F.col("j"), "text", Options(index_over=1)).alias("p"))
+    return inspection.encoding_entries(p, "n_regionkey", "p", prefix="NATION_2").select("n_regionkey", "key", "value")
+
+
+@query(ORDERS + "select k, cast(json_extract(j, '$.items[1]') as varchar) as value from t where json_array_length(j, '$.items') > 1")
+def encoding_at(s, d):
+    p = order_docs(s, d).select("k", documents.doc_encode(F.col("j"), "binary", Options(index_over=2)).alias("p"))
+    return inspection.encoding_entries(p, "k", "p", ["items"], "binary", at=1).select("k", "value")
+
+
 @query()
 def encoding_nodes(s, d):
     p = _nation_map(s, d).select("n_regionkey", documents.doc_encode(F.col("j")).alias("p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +26,20 @@ def get_session(master: str = "local[*]", shuffle_partitions: int | None = None,
     return b.getOrCreate()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and written into the session's checkpoint folder: later plans read it from there, lost executors don't matter, and retries see the same rows.
+
+    The folder is spark.checkpoint.dir. Where none is set, a local master gets a temporary one; on a cluster that is an error, since executors would not share it.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not told and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="arbordoc-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, by a path that Spark's own reader opens."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

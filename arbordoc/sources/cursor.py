@@ -22,9 +22,17 @@ class Document:
         self.data, self.refs = bytes(data), dict(refs or {})
         self.wire = wire_of(fmt, tuple(self.refs))
         self.root = len(self.data)
+        self._nodes: dict[int, Node] = {}
+        self._layouts: dict[int, tuple[str, ...]] = {}
 
     def node(self, right: int) -> Node:
-        """The node that ends at right, with all bytes that belong to it."""
+        """The node that ends at right, with all bytes that belong to it. Nodes that were read are kept while the document is open."""
+        x = self._nodes.get(right)
+        if x is None:
+            x = self._nodes[right] = self._read(right)
+        return x
+
+    def _read(self, right: int) -> Node:
         x = self.wire.node(self.data, right)
         if x.kind == "exp":
             base = self.wire.node(self.data, x.tag_at)
@@ -65,9 +73,9 @@ class Document:
         return keys, index, right
 
     def layout(self, x: Node) -> tuple[str, ...]:
-        if x.kind == "list":
-            return tuple(self.value(r) for r in self.children(x))
-        return tuple(k for k, _ in self.entries(x))
+        if x.right not in self._layouts:
+            self._layouts[x.right] = tuple(self.value(r) for r in self.children(x)) if x.kind == "list" else tuple(k for k, _ in self.entries(x))
+        return self._layouts[x.right]
 
     def children(self, x: Node) -> Iterator[int]:
         """Right ends of a container's children, in order; of a map without a layout of its own these are key, value, key, value..."""

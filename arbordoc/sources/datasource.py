@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
@@ -74,22 +75,55 @@ class EntriesReader(DataSourceReader):
             yield partition.uri, k, v
 
 
+class Written(WriterCommitMessage):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+
 class DocumentsWriter(DataSourceWriter):
-    """Each task writes the documents (name, json) of its partition as files of their own; names must be different."""
+    """Each task writes the documents (name, json) of its partition as files of their own into a folder that readers don't see; names must be different.
 
-    def __init__(self, options: dict):
-        self.options = options
+    When all tasks have ended well their files move into place; overwrite: what was there in any of the formats goes. A job that fails leaves nothing.
+    """
+
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.options, self.overwrite, self.job = options, overwrite, f"_writing-{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
         store, base = _store(self.options["path"])
         fmt = self.options.get("format", "text")
         ending = next(e for e, f in EXTENSIONS.items() if f == fmt)
-        store.create_dir(base, recursive=True)
+        folder = f"{base}/{self.job}/{uuid.uuid4().hex}"
+        store.create_dir(folder, recursive=True)
         tune = {k: kind(self.options[k]) for k, kind in (("index_over", float), ("chain_over", int), ("delimiters", str), ("share_below", float)) if k in self.options}
         for r in rows:
-            with store.open_output_stream(f"{base}/{r['name']}{ending}") as out:
+            with store.open_output_stream(f"{folder}/{r['name']}{ending}") as out:
                 out.write(render_bytes(parse_json(r["json"]), fmt, Options(**tune)))
-        return WriterCommitMessage()
+        return Written(folder)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        store, base = _store(self.options["path"])
+        made = [f.path for m in messages if m for f in store.get_file_info(fs.FileSelector(m.folder)) if f.is_file]
+        names = [p.rpartition("/")[2] for p in made]
+        if len(set(names)) < len(names):
+            self.abort(messages)
+            raise ValueError(f"several documents have the name {next(n for n in names if names.count(n) > 1)!r}")
+        there = {f.base_name: f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and format_of_name(f.path)}
+        for n, p in there.items():
+            if self.overwrite or n in names:
+                store.delete_file(p)
+        for n, p in zip(names, made):
+            store.move(p, f"{base}/{n}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        store, base = _store(self.options["path"])
+        if store.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{self.job}")
 
 
 class ArbordocSource(DataSource):
@@ -109,7 +143,7 @@ class ArbordocSource(DataSource):
         return EntriesReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DocumentsWriter:
-        return DocumentsWriter(dict(self.options))
+        return DocumentsWriter(dict(self.options), overwrite)
 
 
 def register(spark) -> None:

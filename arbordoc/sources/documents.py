@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cursor import Document, decode, to_json
-from .encoder import Options, encode
+from .encoder import Options, encode, identity
+from .tree import tree
 from .wire import UNDEFINED, CodecError, wire_of
 
 #: Endings of file names and what they hold; callers with other endings pass their own table.
@@ -65,7 +68,10 @@ def parse_json(text: str) -> Any:
             raise CodecError("a key is repeated")
         return out
 
-    return json.loads(strip_comments(text), object_pairs_hook=once)
+    try:
+        return json.loads(text, object_pairs_hook=once)
+    except json.JSONDecodeError:  # most texts have no comments: these are looked for only where the text doesn't parse
+        return json.loads(strip_comments(text), object_pairs_hook=once)
 
 
 def detect_format(data: bytes) -> str:
@@ -127,6 +133,40 @@ def doc_encode(j: Column, fmt: str = "text", options: Options | None = None) ->
     return F.arrow_udf(_per_value(lambda s: encode(parse_json(s), fmt, options), pa.binary()), "binary")(j)
 
 
+def doc_identity(j: Column) -> Column:
+    """A key of JSON text that is equal for equal values only: the order of keys counts, 1 and 1.0 are one value."""
+    return F.arrow_udf(_per_value(lambda s: hashlib.sha256(identity(parse_json(s)).encode()).hexdigest(), pa.string()), "string")(j)
+
+
+def doc_sizes(j: Column, options: Options | None = None) -> Column:
+    """struct(text, binary): the bytes of both encodings of JSON text, which is parsed once."""
+
+    def sizes(s):
+        v = parse_json(s)
+        return {"text": len(encode(v, "text", options)), "binary": len(encode(v, "binary", options))}
+
+    return F.arrow_udf(_per_value(sizes, pa.struct([("text", pa.int64()), ("binary", pa.int64())])), "struct<text:bigint,binary:bigint>")(j)
+
+
+def doc_bytes(payload: Column, path: list[str] = [], fmt: str = "text") -> Column:  # noqa: B006
+    """struct(left, right, raw): where the node at a path stands in the document, pointers followed, and its own bytes. NULL where there is none."""
+
+    def raw(b):
+        d = Document(b, fmt)
+        right = d.seek(path)
+        if right is None:
+            return None
+        x = d.target(right)
+        return {"left": x.left, "right": x.right, "raw": d.data[x.left : x.right]}
+
+    return F.arrow_udf(_per_value(raw, pa.struct([("left", pa.int64()), ("right", pa.int64()), ("raw", pa.binary())])), "struct<left:bigint,right:bigint,raw:binary>")(payload)
+
+
+def doc_tree(j: Column, width: int = 80) -> Column:
+    """JSON text as indented tree text."""
+    return F.arrow_udf(_per_value(lambda s: tree(parse_json(s), width), pa.string()), "string")(j)
+
+
 def doc_decode(payload: Column, fmt: str = "text", refs: Mapping[str, Any] | None = None, strict: bool = True) -> Column:
     """An encoded document to JSON text (parse_json makes a VARIANT of it)."""
     return F.arrow_udf(_per_value(_guard(lambda b: to_json(decode(b, fmt, refs)), strict), pa.string()), "string")(payload)
@@ -142,13 +182,13 @@ def doc_get(payload: Column, path: list[str], fmt: str = "text", refs: Mapping[s
     return F.arrow_udf(_per_value(get, pa.string()), "string")(payload)
 
 
-def doc_prefix(payload: Column, prefix: str, path: list[str] = [], fmt: str = "text") -> Column:  # noqa: B006
-    """Entries of the map at a path whose keys begin with prefix, as map<string, JSON text>; by bisection where the map has an index."""
+def doc_prefix(payload: Column, prefix: str, path: list[str] = [], fmt: str = "text", limit: int | None = None) -> Column:  # noqa: B006
+    """Entries of the map at a path whose keys begin with prefix, as map<string, JSON text>; by bisection where the map has an index. limit: read no further than so many."""
 
     def scan(b):
         d = Document(b, fmt)
         right = d.seek(path)
-        return [] if right is None else [(k, to_json(d.value(r))) for k, r in d.prefix(d.target(right), prefix)]
+        return [] if right is None else [(k, to_json(d.value(r))) for k, r in islice(d.prefix(d.target(right), prefix), limit)]
 
     return F.arrow_udf(_per_value(scan, pa.map_(pa.string(), pa.string())), "map<string,string>")(payload)
 
@@ -222,15 +262,23 @@ def write_documents(df: DataFrame, json_col: str, name_col: str, path: str, fmt:
 
 
 def convert(spark: SparkSession, src: str, dst: str, to: str, options: Options | None = None) -> int:
-    """Reads documents from src and writes each in the format `to` under dst, by the name of its file. Returns the number of files."""
-    docs = read_documents(spark, src).select("json", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("name"))
+    """Reads documents from src and writes each in the format `to` under dst, by the name of its file. Returns the number of files.
+
+    Files that differ in their endings only keep these (x.json and x.jsonc become x.json.adb and x.jsonc.adb); two files of one name are an error.
+    """
+    base, full = (F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1), F.regexp_extract("path", r"([^/]*)$", 1))
+    names = spark.read.format("binaryFile").load(src).select(base.alias("base"), full.alias("full")).groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("full").alias("k")).where("n > 1")
+    if twice := names.where("n > k").first():
+        raise ValueError(f"several files have the name {twice['base']!r}")
+    docs = read_documents(spark, src).select("json", base.alias("base"), full.alias("full")).join(names, "base", "left")
+    docs = docs.select("json", F.when(F.col("n").isNull(), F.col("base")).otherwise(F.col("full")).alias("name"))
     return write_documents(docs, "json", "name", dst, to, options).count()
 
 
 def size_stats(df: DataFrame, json_col: str, options: Options | None = None) -> DataFrame:
     """n_docs and the total bytes as JSON and in both forms, with the share that each form saves."""
     j = F.col(json_col)
-    per = df.where(j.isNotNull()).select(F.octet_length(j).cast("long").alias("j"), F.octet_length(doc_encode(j, "text", options)).cast("long").alias("t"), F.octet_length(doc_encode(j, "binary", options)).cast("long").alias("b"))
+    per = df.where(j.isNotNull()).select(F.octet_length(j).cast("long").alias("j"), doc_sizes(j, options).alias("s")).select("j", F.col("s.text").alias("t"), F.col("s.binary").alias("b"))
     s = per.agg(F.count(F.lit(1)).alias("n_docs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("j", "json_bytes"), ("t", "text_bytes"), ("b", "binary_bytes"))])
     share = lambda c: F.round((1 - F.try_divide(F.col(c), F.col("json_bytes"))) * 100, 1)
     return s.withColumn("text_smaller", share("text_bytes")).withColumn("binary_smaller", share("binary_bytes"))

@@ -12,6 +12,8 @@ from typing import Any
 from .wire import UNDEFINED, wire_of, zigzag
 
 SAFE = 2**53 - 1
+PLAIN = (str, int, float, type(None))
+MAPS = (dict, Mapping)
 
 
 @dataclass(frozen=True)
@@ -71,30 +73,55 @@ class _Writer:
         self.o, self.emit, self.pos = options, emit, 0
         self.wire = wire_of(fmt, tuple(options.refs))
         self.ref_names = {identity(v): k for k, v in options.refs.items()}
-        self.seen: dict[str, tuple[int, int]] = {}
+        self.seen: dict[Any, tuple[int, int]] = {}
         self.layouts: dict[tuple[str, ...], int | str] = {}
         for name, v in options.refs.items():
             keys = tuple(v) if isinstance(v, Mapping | list | tuple) else ()
             if keys and all(isinstance(k, str) for k in keys):
                 self.layouts[keys] = name
         self.prefixes: set[str] = set()
-        self.small: dict[int, str] = {}
+        self.small: dict[int, Any] = {}
+        self.known: dict[tuple, Any] = {}
 
     def put(self, data: bytes) -> None:
         self.emit(data)
         self.pos += len(data)
 
-    def measure(self, value: Any) -> int:
-        """Number of nodes below and with value; small containers are noted with their identity."""
-        if isinstance(value, list | tuple):
-            n = 1 + sum(map(self.measure, value))
-        elif isinstance(value, Mapping):
-            n = 1 + sum(1 + self.measure(v) for v in value.values())
+    def key(self, v: Any) -> Any:
+        """What tells a value that is no container from others of any kind, as a dictionary's key."""
+        if isinstance(v, str):
+            return v
+        if isinstance(v, float) and (v != v or abs(v) >= 1e300):
+            return "float", repr(v)
+        return ("constant", id(v)) if v is None or v is UNDEFINED or isinstance(v, bool) else v  # 1 and 1.0 are one value, and equal as keys
+
+    def measure(self, value: Any) -> tuple[int, Any]:
+        """Number of nodes below and with value, and its key. Small containers are noted with theirs: one object for all that are equal, order of keys included."""
+        if isinstance(value, PLAIN):
+            return 1, self.key(value)
+        if isinstance(value, MAPS):
+            n, parts = 1 + len(value), ["{"]
+            for k, v in value.items():
+                if isinstance(v, str):
+                    m, own = 1, v
+                else:
+                    m, own = self.measure(v)
+                n += m
+                parts += k, own
+        elif isinstance(value, list | tuple):
+            n, parts = 1, ["["]
+            for v in value:
+                m, own = self.measure(v)
+                n += m
+                parts.append(own)
         else:
-            return 1
-        if n < self.o.share_below:
-            self.small[id(value)] = "v" + identity(value)
-        return n
+            return 1, self.key(value)
+        if n >= self.o.share_below:
+            return n, None
+        parts = tuple(parts)
+        own = self.known.setdefault(parts, (len(self.known),))
+        self.small[id(value)] = own
+        return n, own
 
     def cheap(self, v: Any) -> bool:
         if v is None or v is UNDEFINED or isinstance(v, bool):
@@ -106,10 +133,14 @@ class _Writer:
     def write(self, v: Any, may_ref: bool = True) -> None:
         if may_ref and self.ref_names and (name := self.ref_names.get(identity(v))) is not None:
             return self.put(self.wire.ref(name))
-        plain = v is None or v is UNDEFINED or isinstance(v, bool)
-        if plain or not self.ref_names and self.cheap(v):
+        if v is None or v is UNDEFINED or isinstance(v, bool):
             return self.body(v)
-        key = self.small.get(id(v)) if isinstance(v, list | tuple | Mapping) else identity(v)
+        if isinstance(v, PLAIN):
+            if not self.ref_names and self.cheap(v):
+                return self.body(v)
+            key = self.key(v)
+        else:
+            key = self.small.get(id(v))
         if key is None:
             return self.body(v)
         if key in self.seen:
@@ -132,7 +163,7 @@ class _Writer:
             start = self.pos
             self.children(v)
             self.put(self.wire.head("list", self.pos - start))
-        elif isinstance(v, Mapping):
+        elif isinstance(v, MAPS):
             self.mapping(v)
         else:
             raise TypeError(f"can't encode {type(v).__name__}")

@@ -67,7 +67,7 @@ def unzigzag(z: int) -> int:
     return z // 2 if z % 2 == 0 else -(z + 1) // 2
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Node:
     """What stands at a right end: its kind, number (or a name's text), and where its tag begins. body: bytes that belong to it left of the tag."""
 
@@ -217,12 +217,13 @@ class BinaryWire:
             at -= 1
         if at < 0:
             raise CodecError("no tag")
-        kind = self.kinds.get(data[at] & 15)
+        top = data[at]
+        kind = self.kinds.get(top & 15)
         if kind is None:
-            raise CodecError(f"unknown tag {data[at] & 15} at {at}")
-        n = data[at] >> 4
-        for x in data[at + 1 : right]:
-            n = n << 7 | x & 0x7F
+            raise CodecError(f"unknown tag {top & 15} at {at}")
+        n = top >> 4
+        for k in range(at + 1, right):
+            n = n << 7 | data[k] & 0x7F
         if kind == "name":
             own = n - len(LITERALS)
             name = LITERALS[n][0] if own < 0 else self.refs[own] if own < len(self.refs) else f"#{own}"

@@ -23,3 +23,29 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["event_id", "v"]
+
+
+def test_core_queries_without_the_packages_of_others(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("arbordoc.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("zstandard", "xxhash"):
+        monkeypatch.setitem(sys.modules, name, None)  # importing it fails
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert set(importlib.reload(__spark_entry__).queries()) == set(QUERIES)
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
+
+
+def test_written_rounds_need_a_shared_folder(monkeypatch, spark, tmp_path):
+    from arbordoc.session import cut
+
+    df = spark.range(3)
+    assert sorted(r.id for r in cut(df).collect()) == [0, 1, 2]

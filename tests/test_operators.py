@@ -86,7 +86,7 @@ def test_inspection(spark):
     rows = inspection.resolve(n, "id").collect()
     ptr = next(r for r in rows if r.kind == "ptr")
     assert next(r for r in rows if r.node == ptr.resolved).kind == "map"
-    assert inspection.semantic_nodes(n).count() == n.count()
+    assert inspection.semantic_nodes(n, "id").count() == n.count()
     assert json.loads(inspection.ast_json(encode([1])))["children"][0]["tag"] == "+2"
 
 
@@ -153,3 +153,115 @@ def test_command_line(tmp_path, capsysbinary):
     assert cli.main(["show", str(f), "tags", "9"]) == 2 and cli.main(["show", str(f), "zzz"]) == 2 and cli.main(["show", "/no/file"]) == 1
     assert cli.main(["inspect", str(f)]) == 0 and cli.main(["stats", str(f)]) == 0
     assert b"binary" in capsysbinary.readouterr().out
+
+
+def test_layouts_are_told_apart_by_keys(spark):
+    df = spark.createDataFrame([('{"a,b":3}',), ('{"a":1,"b":2}',)], "j string")
+    assert sorted((r.layout, list(r["keys"]), r.n_docs, r.layout_id) for r in layouts.layout_catalogue(df, "j").collect()) == [("a,b", ["a", "b"], 1, 0), ("a,b", ["a,b"], 1, 1)]
+
+
+def test_any_key_in_a_path(spark):
+    j = F.lit(json.dumps({"it's": {"x?": 1}, "*": 2, "": 3, "a.b": 4, 'q"q': 5}))
+    got = one(spark, a=paths.path_get(j, "it's", "x?", to="int"), b=paths.path_get(j, "*", to="int"), c=paths.path_get(j, "", to="int"), d=paths.path_get(j, "a.b", to="int"), e=paths.has_key(F.parse_json(j), 'q"q'), f=paths.has_key(F.parse_json(j), "no"), g=paths.has_key(F.parse_json(F.lit("[1]")), "0"), n=paths.child_count(F.parse_json(j)))
+    assert tuple(got) == (1, 2, 3, 4, True, False, False, 5)
+
+
+def test_pointer_plans_stay_small(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i % 40 else None) for i in range(80)], "i int, t int")
+    ends = lookup.follow_pointers(chain, "i", "t")
+    assert {r.i: r.final for r in ends.collect()} == {i: i - i % 40 for i in range(80)}
+    assert ends._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4
+
+
+def test_convert_keeps_endings_that_differ(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "x.json").write_text("[1]")
+    (src / "x.jsonc").write_text("[2] // two")
+    (src / "y.json").write_text("[3]")
+    assert documents.convert(spark, str(src), f"file://{tmp_path}/dst", "text") == 3
+    assert {f.name: decode(f.read_bytes()) for f in (tmp_path / "dst").iterdir()} == {"x.json.adt": [1], "x.jsonc.adt": [2], "y.adt": [3]}
+
+
+def test_data_source_overwrites_and_aborts(spark, tmp_path):
+    datasource.register(spark)
+    put = lambda rows, mode: spark.createDataFrame(rows, "name string, json string").write.format("arbordoc").option("format", "binary").mode(mode).save(str(tmp_path))
+    put([("a", "1"), ("b", "2")], "append")
+    put([("b", "3"), ("c", "4")], "append")
+    held = lambda: {f.name: decode(f.read_bytes(), "binary") for f in tmp_path.iterdir()}
+    assert held() == {"a.adb": 1, "b.adb": 3, "c.adb": 4}
+    put([("d", "5")], "overwrite")
+    assert held() == {"d.adb": 5}
+    for bad in ([("e", "1"), ("f", "not json")], [("e", "1"), ("e", "2")]):
+        with pytest.raises(Exception):
+            put(bad, "append")
+        assert held() == {"d.adb": 5}
+
+
+def test_identity_bytes_tree_and_fractions(spark):
+    from arbordoc.sources.encoder import split_number
+
+    rows = ['{"a":1,"b":2}', '{"b":2,"a":1}', '{"a": 1.0, "b": 2}']
+    a, b, c = (r.k for r in spark.createDataFrame([(r,) for r in rows], "j string").select(documents.doc_identity(F.col("j")).alias("k")).collect())
+    assert a == c != b
+    raw = spark.createDataFrame([(bytearray(encode({"x": [1, 2], "y": "text"})),)], "p binary").select(documents.doc_bytes(F.col("p"), ["y"]).alias("y"), documents.doc_bytes(F.col("p"), ["z"]).alias("z"), documents.doc_prefix(F.col("p"), "", limit=1).alias("one")).first()
+    assert bytes(raw.y.raw) == b"text,4" and raw.y.right - raw.y.left == 6 and raw.z is None and len(raw.one) == 1
+    assert one(spark, t=documents.doc_tree(F.lit('{"a b":[1,null]}')))[0] == '{\n  "a b": [ 1, null ]\n}'
+    xs = [0.1, -2.5, 1e-9, 123456.789, 1e21, 3.0, 1 / 3, 5e-300, 1.7e308, 2e15 + 0.5]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(scalars.split_fraction(F.col("x")).alias("s")).collect()
+    assert [tuple(r.s) for r in got] == [split_number(x) for x in xs]
+
+
+def test_nodes_tile_the_bytes(spark):
+    """Every node's children and its own tag cover its bytes without gaps, and semantic nodes are the values, keys and pointers only."""
+    import random
+
+    from arbordoc.sources.encoder import Options
+
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 4)
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rng.randint(0, 5))]
+        if kind == 5:
+            return {k: value(depth - 1) for k in rng.sample(["a", "b", "long key", "/x/y", "z"], rng.randint(0, 4))}
+        return [rng.randint(-9999, 9999), rng.random(), rng.choice(["x", "some text", "deadbeef", "/a/long/path/with/many/parts/of/it"]), None][kind]
+
+    for fmt in ("text", "binary"):
+        docs = [value(4) for _ in range(40)] + [[{"a": 1, "b": 2}, {"a": 3, "b": 4}, {"a": 5, "b": 6}]]
+        df = spark.createDataFrame([(i, bytearray(encode(v, fmt, Options(index_over=3)))) for i, v in enumerate(docs)], "id int, p binary")
+        nodes_ = inspection.encoding_nodes(df, "id", "p", fmt)
+        of = {(r.id, r.node): r for r in nodes_.collect()}
+        inner = {}
+        for (i, _), r in of.items():
+            inner.setdefault((i, r.parent), []).append(r)
+        for i, p in ((r.id, r.p) for r in df.collect()):
+            assert (of[i, 0].left, of[i, 0].right) == (0, len(p))
+        for key, r in of.items():
+            assert r.left + r["size"] == r.tag_at < r.right
+            own = sorted(inner.get(key, []), key=lambda c: c.left)
+            if r.kind in ("list", "map", "chain"):
+                edges = [r.left, *(c.right for c in own)]
+                assert [c.left for c in own] == edges[:-1] and edges[-1] == r.tag_at
+            assert [c.ord for c in own] == list(range(len(own)))[::-1]
+        kept = inspection.semantic_nodes(nodes_, "id").collect()
+        gone = {(r.id, r.node) for r in of.values()} - {(r.id, r.node) for r in kept}
+        assert len(kept) + len(gone) == len(of) and {of[k].kind for k in gone} == {"index", "ptr"}
+        assert sum(k[0] == len(docs) - 1 and of[k].kind == "ptr" for k in gone) == 2  # the second and third map have the first one's keys
+
+
+def test_sizes_are_those_of_the_encoders(spark):
+    values = [[1, {"a": "text"}], {"k": [1.5, None] * 9}, "x"]
+    r = documents.size_stats(spark.createDataFrame([(json.dumps(v, separators=(",", ":")),) for v in values] + [(None,)], "j string"), "j").first()
+    total = [sum(len(f(v)) for v in values) for f in (lambda v: json.dumps(v, separators=(",", ":")), encode, lambda v: encode(v, "binary"))]
+    assert tuple(r)[:4] == (3, *total) and r.text_smaller == round((1 - total[1] / total[0]) * 100, 1)
+
+
+def test_encoding_entries(spark):
+    df = spark.createDataFrame([(1, bytearray(encode({"ab": [5, {"x": 1}], "ac": 2, "b": "t"}))), (2, None), (3, bytearray(encode(7)))], "id int, p binary")
+    rows = lambda **kw: [(r.id, r.pos, r.key, r.kind, r.value) for r in inspection.encoding_entries(df, "id", "p", **kw).collect()]
+    assert rows() == [(1, 0, "ab", "list", '[5,{"x":1}]'), (1, 1, "ac", "int", "2"), (1, 2, "b", "str", '"t"')]
+    assert rows(prefix="a") == [(1, None, "ab", "list", '[5,{"x":1}]'), (1, None, "ac", "int", "2")]
+    assert rows(key="b") == [(1, None, "b", "str", '"t"')] and rows(key="no") == [] and rows(at=1) == [(1, 1, "ac", "int", "2")]
+    assert rows(path=["ab"], at=1) == [(1, 1, None, "map", '{"x":1}')] and rows(path=["zz"]) == []
