@@ -14,6 +14,7 @@ from .common import id_type, lean, load, stash
 from .cuckoo import CuckooFilter, Full
 
 SHARD_KEYS = 1 << 16
+BLOCK_REFS = 1 << 16
 
 
 def _long_enough(key: bytes, min_chars: int) -> bool:
@@ -41,32 +42,27 @@ class LineIndex:
 
     refs: (k1, k2, doc), the exact reference table, one row per key and document.
     counts: (k1, k2, n, top), the exact reference count of each key and the largest document that holds it.
-    filters: (shard, blob), cuckoo filters of the keys with n >= min_docs, about SHARD_KEYS keys to a shard (shard = k1 mod shards).
+    filters: (shard, blob), cuckoo filters of the keys with n >= min_docs, about shard_keys keys to a shard (shard = k1 mod shards).
     All three are tables in the shared folder. insert() and delete() give a new index and leave the old one valid, so both can be undone:
     deleting what was inserted restores every count, and so every decision. Filters decide nothing: they spare most rows the join with
     the counts, which then decides.
     """
 
-    def __init__(self, spark, refs, counts, filters, shards, min_docs, min_chars):
-        self.spark, self.refs, self.counts, self.filters, self.shards, self.min_docs, self.min_chars = spark, refs, counts, filters, shards, min_docs, min_chars
+    def __init__(self, spark, refs, counts, filters, shards, min_docs, min_chars, shard_keys):
+        self.spark, self.refs, self.counts, self.filters, self.shards, self.min_docs, self.min_chars, self.shard_keys = spark, refs, counts, filters, shards, min_docs, min_chars, shard_keys
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20) -> "LineIndex":
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, shard_keys: int = SHARD_KEYS) -> "LineIndex":
         refs = stash(line_keys(docs, id_col, text_col, min_chars).dropDuplicates(), "line-refs")
-        return cls._of(refs, min_docs, min_chars)
-
-    @classmethod
-    def _of(cls, refs: DataFrame, min_docs: int, min_chars: int, counts: DataFrame | None = None) -> "LineIndex":
-        if counts is None:
-            counts = stash(refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("top")), "line-counts")
-        new = cls(refs.sparkSession, refs, counts, None, 0, min_docs, min_chars)
+        counts = stash(refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("top")), "line-counts")
+        new = cls(refs.sparkSession, refs, counts, None, 0, min_docs, min_chars, shard_keys)
         new._build_filters()
         return new
 
     def _build_filters(self) -> None:
         hot = self.counts.where(F.col("n") >= self.min_docs)
-        self.shards = max(1, -(-hot.count() // SHARD_KEYS))
-        self.filters = stash(_grouped(hot.select("k1", self._shard().alias("shard")), _built), "line-filters")
+        self.shards, least = max(1, -(-hot.count() // self.shard_keys)), self.shard_keys // 2
+        self.filters = stash(_grouped(hot.select("k1", self._shard().alias("shard")), lambda t: _built(t, least)), "line-filters")
 
     def _shard(self):
         return F.pmod("k1", F.lit(self.shards))
@@ -92,40 +88,39 @@ class LineIndex:
         """The index after a change; c: the new counts with the old count n0. Filters get or lose the keys that crossed min_docs."""
         c = stash(c, "line-changed")
         counts = c.where("n > 0").select("k1", "k2", "n", "top")
-        new = LineIndex(self.spark, refs, counts, None, self.shards, self.min_docs, self.min_chars)
+        new = LineIndex(self.spark, refs, counts, None, self.shards, self.min_docs, self.min_chars, self.shard_keys)
         m = self.min_docs
         moved = c.where((F.col("n") >= m) != (F.col("n0") >= m)).select("k1", (F.col("n") >= m).alias("up"), self._shard().alias("shard"))
         both = moved.withColumn("blob", F.lit(None).cast("binary")).unionByName(self.filters.select(F.lit(None).cast("long").alias("k1"), F.lit(None).cast("boolean").alias("up"), "shard", "blob"))
-        try:
-            new.filters = stash(_grouped(both, _changed), "line-filters")
-        except Exception as e:
-            if Full.__name__ not in str(e):
-                raise
+        most = self.shard_keys
+        new.filters = stash(_grouped(both, lambda t: _changed(t, most)), "line-filters")
+        if not new.filters.where("blob is null").isEmpty():
             new._build_filters()  # a shard has outgrown its filter: build all anew, with more shards
         return new
 
-    def drops(self, filter_bytes: int = 32 << 20) -> DataFrame:
-        """(doc, keys): per document, the 16-byte keys whose lines go. Keys in at least min_docs documents stay in the largest one only.
+    def hits(self, block: int = BLOCK_REFS) -> DataFrame:
+        """The references whose key is in its shard's filter: those of all repeated keys, and few others.
 
-        Filters are broadcast only while all of them together have at most filter_bytes; beyond that every reference goes to the exact join.
+        References meet filters by shard, at any number of shards, and no filter passes through the driver. A shard's references come in blocks of about
+        `block`, dealt by document, so neither a hot line nor a large shard lands in one task.
         """
-        refs = self.refs
-        size = self.filters.agg(F.sum(F.length("blob"))).first()[0] or 0
-        if size <= filter_bytes:
-            told = self.spark.sparkContext.broadcast({r["shard"]: r["blob"] for r in self.filters.toLocalIterator()})
-            shards = self.shards
-
-            def probe(batches):
-                filters = {s: CuckooFilter.loads(b) for s, b in told.value.items()}
-                for b in batches:
-                    k1 = b.column(0).to_numpy()
-                    hit, own = np.zeros(len(k1), bool), k1 % shards
-                    for s in np.unique(own):
-                        if (f := filters.get(int(s))) is not None:
-                            hit[own == s] = f.contains(k1[own == s])
-                    yield b.filter(pa.array(hit))
-
-            refs = refs.mapInArrow(lean(probe), refs.schema)
+        refs = self.refs.withColumn("shard", self._shard())
+        sized = self.filters.join(refs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "shard")
+        sized = stash(sized, "line-sized")
+        dealt = refs.join(sized.select("shard", "blocks"), "shard").withColumn("b", F.pmod(F.xxhash64("doc", "k2"), F.col("blocks")))
+        dealt = dealt.groupBy("shard", "b").agg(F.collect_list(F.struct("k1", "k2", "doc")).alias("refs"))
+
+        def probe(batches):
+            for b in batches:
+                for refs, blob in zip(b.column(0), b.column(1)):
+                    rows = pa.RecordBatch.from_struct_array(refs.values)
+                    yield rows.filter(pa.array(CuckooFilter.loads(blob.as_py()).contains(rows.column(0).to_numpy())))
+
+        return dealt.join(sized.select("shard", "blob"), "shard").select("refs", "blob").mapInArrow(lean(probe), self.refs.schema)
+
+    def drops(self) -> DataFrame:
+        """(doc, keys): per document, the 16-byte keys whose lines go. Keys in at least min_docs documents stay in the largest one only."""
+        refs = self.hits()
         hot = self.counts.where(F.col("n") >= self.min_docs).select("k1", "k2", "top")
         gone = refs.join(hot, ["k1", "k2"]).where("doc < top")
         key = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("k1", "k2")])
@@ -177,13 +172,13 @@ def _grouped(df: DataFrame, f) -> DataFrame:
     return df.groupBy("shard").applyInArrow(f, "shard long, blob binary")
 
 
-def _out(shard, filt: CuckooFilter) -> pa.Table:
-    return pa.table({"shard": pa.array([shard], pa.int64()), "blob": pa.array([filt.dumps()], pa.binary())})
+def _out(shard, filt: CuckooFilter | None) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int64()), "blob": pa.array([filt and filt.dumps()], pa.binary())})
 
 
-def _built(t: pa.Table) -> pa.Table:
+def _built(t: pa.Table, least: int) -> pa.Table:
     keys = t.column("k1").to_numpy()
-    n = max(len(keys), SHARD_KEYS // 2)
+    n = max(len(keys), least)
     while True:
         f = CuckooFilter.sized(n)
         try:
@@ -193,19 +188,22 @@ def _built(t: pa.Table) -> pa.Table:
             n *= 2
 
 
-def _changed(t: pa.Table) -> pa.Table:
+def _changed(t: pa.Table, most: int) -> pa.Table:
     blobs = t.column("blob").drop_null()
-    f = CuckooFilter.loads(blobs[0].as_py()) if len(blobs) else CuckooFilter.sized(SHARD_KEYS)
+    f = CuckooFilter.loads(blobs[0].as_py()) if len(blobs) else CuckooFilter.sized(most)
     up = t.column("up")
-    for way, do in ((False, f.delete), (True, f.insert)):
-        k = t.column("k1").filter(pc.fill_null(pc.equal(up, way), False)).to_numpy()
-        if len(k):
-            do(k)
+    try:
+        for way, do in ((False, f.delete), (True, f.insert)):
+            k = t.column("k1").filter(pc.fill_null(pc.equal(up, way), False)).to_numpy()
+            if len(k):
+                do(k)
+    except Full:
+        return _out(t.column("shard")[0].as_py(), None)
     return _out(t.column("shard")[0].as_py(), f)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """docs without repeated lines: index all of docs, then rewrite it.
+    """docs without repeated lines: index all of docs, then rewrite it. Adds n_lines and n_dropped (see LineIndex.rewrite).
 
     A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Keys of at least min_chars code points found in at least
     min_docs different documents lose all their lines except in the largest id that holds them. A null text stays null and counts as one empty line;
@@ -217,6 +215,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents; a null text counts as one empty line. See line_dedup."""
     out = line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
