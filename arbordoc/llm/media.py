@@ -9,27 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_type, lean, load, stash, with_hit
+from .common import bitmap, id_type, lean, load, scratch, stash, with_hit
 from .graph import components
 
-LEVELS = (1.0, 1.5, 2.25)
-PER_LEVEL = (40, 20, 10)
+#: Images are shrunk by these factors, a third of an octave apart, so any two scales are within an eighth of each other at some pair of levels.
+LEVELS = (1.0, 1.26, 1.587, 2.0, 2.52)
+PER_LEVEL = (24, 18, 14, 9, 6)
 REACH = 13  # radius of the patch that the tests read, in pixels of the level
 MARGIN = REACH + 3
-TURNS = 36
+TURNS = 72
 BITS = 256
+SPOT = 6  # pixels
 BANDS = 8
 #: Bytes of tests in a key, at any number of images: whether two images are linked must not depend on how many others there are.
 KEY_BYTES = 5
-#: Parts of a pixel, of a scale and of a turn that corners are stored in. Images must have fewer than 8192 pixels a side.
-UNITS = np.array([4, 4, 1000, 1000], np.float32)
+#: Images with a longer side are shrunk by a whole factor first, so that memory stays bounded.
+LONGEST = 4096
 ONE = np.zeros(0, np.float32)
 
 
-def to_units(geo: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(geo * UNITS), -32768, 32767).astype(np.int16)
-
-
 def _pattern() -> np.ndarray:
     """(TURNS, 2 * BITS, 2): the tests' points (dy, dx), first and second points one after the other, turned in steps of 360 / TURNS degrees.
 
@@ -114,7 +112,7 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         angle = np.arctan2(patch @ DISC[:, 0].astype(np.float32), patch @ DISC[:, 1].astype(np.float32))
         t = np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
         p = PATTERN[t]
-        s = blur(x)
+        s = blur(blur(x))
         v = s[k[:, None], y[:, None] + p[:, :, 0], z[:, None] + p[:, :, 1]]
         d = np.packbits(v[:, :BITS] < v[:, BITS:], axis=1).view("<u4")
         g = np.stack([y * level, z * level, np.full(len(k), level), angle], 1).astype(np.float32)
@@ -127,7 +125,7 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most_bits: int) -> int:
-    """How many matching corners of two images agree on one shift, turn and scale. Matches: each other's nearest, at most most_bits of the tests differing."""
+    """At how many spots of two images matching corners agree on one shift, turn and scale. Matches: each other's nearest, at most most_bits of the tests differing."""
     (ga, da), (gb, db) = a, b
     if not len(ga) or not len(gb):
         return 0
@@ -146,23 +144,33 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     room = 4 + 0.12 * np.hypot(dy, dx) * scale[:, None]
     wrap = np.abs((turn[None] - turn[:, None] + np.pi) % (2 * np.pi) - np.pi)
     fit = (np.hypot(ey, ex) <= room) & (wrap < 0.4) & (np.abs(np.log(scale[None] / scale[:, None])) < 0.5)
-    return int(fit.sum(1).max())
+    best = p[fit[fit.sum(1).argmax()], :2]
+    # one spot of the image may have corners at several levels: they count once
+    return len(np.unique(np.floor(best / SPOT), axis=0))
 
 
 def pgm(image: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
 
+def pooled(image: np.ndarray) -> tuple[np.ndarray, int]:
+    """The image, shrunk by means of square blocks until its sides are at most LONGEST, and the blocks' side. What is left at the edges goes."""
+    by = -(-max(image.shape) // LONGEST)
+    if by == 1:
+        return image, 1
+    h, w = (n // by for n in image.shape)
+    rows = [image[by * i : by * (i + 1), : by * w].reshape(by, w, by).mean((0, 2), dtype=np.float32) for i in range(h)]
+    return np.stack(rows) if rows and w else np.zeros((1, 1), np.float32), by
+
+
 def read_pgm(blob: bytes | None) -> np.ndarray | None:
-    """A grey image from a binary PGM (P5, 8 bits, no comments, fewer than 8192 pixels a side); None for anything else."""
+    """A grey image from a binary PGM (P5, 8 bits, no comments); None for anything else."""
     parts = (blob or b"").split(maxsplit=4) if (blob or b"")[:2] == b"P5" else []
     head = (blob or b"")[:64].split(b"\n", 3)
     if len(parts) < 4 or len(head) < 4:
         return None
     try:
         w, h = map(int, head[1].split())
-        if max(w, h) >= 8192:
-            return None
         data = blob[sum(len(x) + 1 for x in head[:3]) :]
         return np.frombuffer(data, np.uint8).reshape(h, w) if head[2] == b"255" and w > 0 and h > 0 else None
     except ValueError:
@@ -178,7 +186,12 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                images = [read_pgm(x.as_py()) for x in part.column(1)]
+                images, by = [], []
+                for x in part.column(1):
+                    image = read_pgm(x.as_py())
+                    image, k = (None, 1) if image is None else pooled(image)
+                    images.append(image)
+                    by.append(k)
                 out: list = [(ONE.reshape(0, 4), np.zeros((0, BANDS), np.uint32))] * len(images)
                 by_shape: dict = {}
                 for i, x in enumerate(images):
@@ -188,9 +201,9 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
                     step = max(1, (1 << 22) // images[own[0]].size)
                     for k in range(0, len(own), step):
                         for i, d in zip(own[k : k + step], describe(np.stack([images[j] for j in own[k : k + step]]))):
-                            out[i] = d
+                            out[i] = (d[0] * np.array([by[i], by[i], by[i], 1], np.float32), d[1])
                 bits = [d.tobytes() if len(g) or not x.is_valid else hashlib.sha256(x.as_py()).digest() for (g, d), x in zip(out, part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_units(g).tobytes() for g, _ in out], pa.binary()), pa.array(bits, pa.binary()), pa.array([len(g) for g, _ in out], pa.int32())], names=["id", "geo", "bits", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.astype("<f4").tobytes() for g, _ in out], pa.binary()), pa.array(bits, pa.binary()), pa.array([len(g) for g, _ in out], pa.int32())], names=["id", "geo", "bits", "n"])
 
     return media.select(F.col(id_col), F.col(image_col)).mapInArrow(lean(run), f"id {id_type(media, id_col)}, geo binary, bits binary, n int")
 
@@ -207,7 +220,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) ->
     """Those pairs (a, b) whose corners have a consensus of at least `least`. The joins' pair side is narrow, and AQE can split a hot image."""
 
     def run(batches):
-        shape = lambda g, d: (np.frombuffer(g, np.int16).reshape(-1, 4) / UNITS, np.frombuffer(d, "<u4").reshape(-1, BANDS))
+        shape = lambda g, d: (np.frombuffer(g, "<f4").reshape(-1, 4), np.frombuffer(d, "<u4").reshape(-1, BANDS))
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             ok = [consensus(shape(ga, da), shape(gb, db), most_bits) >= least for ga, da, gb, db in zip(*cols[2:])]
@@ -248,11 +261,12 @@ def _cross_pairs(active: DataFrame, block: int) -> DataFrame:
     return both.mapInArrow(lean(run), "a long, b long")
 
 
-def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 4, votes: int = 2, block: int = 2048, filter_bits: int = 24, rounds: int = 4) -> DataFrame:
+def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 5, votes: int = 2, block: int = 2048, filter_bits: int = 24, rounds: int = 4) -> DataFrame:
     """One row per input row: id, n_corners, class_id, the smallest id among the images that are linked to it, directly or through others.
 
-    Two images are linked if they share at least `votes` keys of the Hamming tables (8 keys for each corner, of 40 tests at any number of images) and at least `least` matching corners (at most
-    most_bits of 256 tests differ) agree on one shift, turn and scale: cropped, shifted, turned, resized, brighter or partly covered copies.
+    Two images are linked if they share at least `votes` keys of the Hamming tables (8 keys for each corner, of 40 tests at any number of images) and matching corners (at most most_bits of 256 tests differ) at `least` spots or more
+    agree on one shift, turn and scale: cropped, shifted, turned, resized, brighter or partly covered copies. Keys find most pairs that the corners
+    would confirm, not all: test_media_recall measures the share for turns and scales. At most 71 corners of an image count, so a crop of a small part of it may keep too few.
 
     1. Corners and tests are computed row by row. Images with the same corners and tests are one node, so exact copies never meet in a table.
     2. The tables are one equality grouping. Keys of one node go, by a filter of fixed size and an exact count.
@@ -261,51 +275,61 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     4. When rounds join little, are used up or few pairs are left, the whole table is gone through again, in blocks: all pairs that share enough keys and not yet a
        class are verified. So no link between classes is missed: no cap, no sampling.
 
-    Images that can't be read, are flat, too small or too large have no corners; those of the same bytes share a class. Null images are classes of their own, null ids included (class_id null). Repeated rows share a class.
+    Images that can't be read, are flat or too small have no corners; those of the same bytes share a class. Null images are classes of their own, null ids included (class_id null). Repeated rows share a class.
     An empty table gives an empty result. Other columns are ignored. image_col: binary PGM of 8 bits.
     """
-    rows = stash(features(media, id_col, image_col).withColumn("row", F.monotonically_increasing_id()), "media-features")
-    named = rows.where("n > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
+    spark = media.sparkSession
     low = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("low")
-    sets = stash(named.groupBy("set").agg(low, F.first("geo").alias("geo"), F.first("bits").alias("bits"), F.first("n").alias("n")).withColumn("node", F.col("low.row")), "media-sets")
-    # a key is shared if it has two different nodes; the keys are made twice from the corners, which is cheaper than to write them all
-    keys = _table_keys(sets)
-    shared = stash(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "media-shared")
-    whole = with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").distinct()
-    whole = stash(whole.join(shared, "key", "left_semi"), "media-table")
+    with scratch(spark) as keep_all:
+        rows = keep_all(stash(features(media, id_col, image_col).withColumn("row", F.monotonically_increasing_id()), "media-features"))
+        named = rows.where("n > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
+        sets = stash(named.groupBy("set").agg(low, F.first("geo").alias("geo"), F.first("bits").alias("bits"), F.first("n").alias("n")).withColumn("node", F.col("low.row")), "media-sets")
+        # a key is shared if it has two different nodes; the keys are made twice from the corners, which is cheaper than to write them all
+        keys = _table_keys(sets)
+        with scratch(spark) as keep:
+            shared = stash(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "media-shared")
+            whole = with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").distinct()
+            whole = keep(stash(whole.join(shared, "key", "left_semi"), "media-table"))
+        roots = _roots(whole, sets, most_bits, least, votes, block, rounds)
+        where = sets.select("set", "node", "low")
+        where = where.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else where.withColumn("root", F.col("node"))
+        where = stash(where, "media-where")
+        named_class = keep_all(stash(where.select("set", "root").join(where.groupBy("root").agg(F.min("low").alias("low")), "root").select("set", F.col("low.id").alias("class_id")), "media-classes"))
+    plain = rows.where("n = 0 and length(bits) > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
+    named_class = named_class.unionByName(plain.groupBy("set").agg(low).select("set", F.col("low.id").alias("class_id")))
+    out = rows.withColumn("set", F.when(F.length("bits") > 0, F.sha2(F.concat("geo", "bits"), 256))).select("id", "n", "set").join(named_class, "set", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_corners"), F.when(F.col("set").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+
+
+def _roots(whole: DataFrame, sets: DataFrame, most_bits: int, least: int, votes: int, block: int, rounds: int) -> DataFrame | None:
+    """(node, root): the classes of nodes that have links, by the rounds that media_copies describes. whole: the table of keys (key, node). Each round deletes its tables."""
     links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     left, roots, known, last = whole, None, 0, False
     for k in range(rounds + 1):
         last = last or k == rounds
-        table = whole if last else left
-        table = table.withColumn("root", F.col("node")) if roots is None else table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = table.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
-        mixed = stash(mixed.where("r0 < r1").select("key", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"), "k"), "media-mixed")
-        n, most = mixed.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0))).first()
-        if not n:
-            if last:
-                break
-            last = True
-            continue
-        active = stash(table.join(mixed, "key"), "media-active")
-        pairs = _cross_pairs(active.select("key", "node", "root"), block) if last else active.where("root <> rep_root").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        pairs = stash(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") >= votes).select("a", "b"), "media-pairs")
-        links = stash(links.unionByName(_verified(pairs, sets, most_bits, least)), "media-links")
-        roots = stash(components(links, "media-cc"), "media-roots")
+        with scratch(sets.sparkSession) as keep:
+            table = whole if last else left
+            table = table.withColumn("root", F.col("node")) if roots is None else table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            mixed = table.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
+            mixed = stash(mixed.where("r0 < r1").select("key", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"), "k"), "media-mixed")
+            n, most = mixed.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0))).first()
+            if not n:
+                if last:
+                    break
+                last = True
+                continue
+            active = keep(stash(table.join(mixed, "key"), "media-active"))
+            pairs = _cross_pairs(active.select("key", "node", "root"), block) if last else active.where("root <> rep_root").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+            pairs = stash(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") >= votes).select("a", "b"), "media-pairs")
+            links = keep(stash(links.unionByName(_verified(pairs, sets, most_bits, least)), "media-links"))
+            roots = keep(stash(components(links, "media-cc"), "media-roots"))
         if last:
             break
         left = active.where("node <> rep").select("key", "node")
         before, known = known, links.count()
         # few pairs left, or what shares keys now are mostly different images, so that further rounds would join little
         last = most <= 8 * n or 20 * (known - before) < n
-    where = sets.select("set", "node", "low")
-    where = where.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else where.withColumn("root", F.col("node"))
-    where = stash(where, "media-where")
-    named_class = stash(where.select("set", "root").join(where.groupBy("root").agg(F.min("low").alias("low")), "root").select("set", F.col("low.id").alias("class_id")), "media-classes")
-    plain = rows.where("n = 0 and length(bits) > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
-    named_class = named_class.unionByName(plain.groupBy("set").agg(low).select("set", F.col("low.id").alias("class_id")))
-    out = rows.withColumn("set", F.when(F.length("bits") > 0, F.sha2(F.concat("geo", "bits"), 256))).select("id", "n", "set").join(named_class, "set", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_corners"), F.when(F.col("set").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    return roots
 
 
 SIDE, TILE = 96, 4
@@ -346,4 +370,5 @@ def drawn(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of copies among images that are drawn from embeddings, one for each row. See media_copies."""
     return media_copies(drawn(load(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "image")

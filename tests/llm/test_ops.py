@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arbordoc.llm import bpe, chat_format, common, cuckoo, exact_dedup, licenses, line_dedup, media, mixing, queries, simhash, simple8b, token_files, toxicity
+from arbordoc.llm import bpe, chat_format, common, cuckoo, exact_dedup, hashing, licenses, line_dedup, media, mixing, queries, simhash, simple8b, token_files, toxicity
 from conftest import SF
 
 LONG = "word " * 50_000
@@ -148,6 +148,61 @@ def test_licenses_in_long_blocks():
     assert [(x[2], x[3]) for x in s.scan("Licensed under the Apache License, Version 1.1. " + "of the " * 9 + near)] == [("Apache-2.0", False)]
 
 
+def test_licenses_take_time_in_proportion():
+    s = licenses.Scanner()
+    for n in (200, 800, 3200):
+        got = s.scan("\n".join(f"{NOTICE} item{i}" for i in range(n)))
+        assert [x[2:4] for x in got] == [("MIT", True)] * n
+
+
+def test_size_reductions_choose_the_license(monkeypatch):
+    # both are confirmed, two of eight words apart; the one that saves more wins, wherever it is in the list
+    words = "copies of that work stay free for everybody"
+    for own in ((("Y", words.replace("stay", "were")), ("X", words)), (("X", words), ("Y", words.replace("stay", "were")))):
+        assert [x[2:4] for x in licenses.Scanner(own).scan(f"All {words} here.")] == [("X", True)]
+        with monkeypatch.context() as m:
+            m.setattr(licenses.Scanner, "reduction", lambda self, words, i: 0)
+            assert [x[2] for x in licenses.Scanner(own).scan(f"All {words} here.")] == [own[0][0]]
+
+
+def test_licenses_against_every_window():
+    own = (*((n, t) for n, t in licenses.TEMPLATES if len(t.split()) < 14), ("Own", "nobody may sell these words to anyone"))
+    s, rng = licenses.Scanner(own), random.Random(9)
+
+    def least(t, span):  # fewest missing and extra words; those that tell licences apart can be neither
+        cost = [[0] * (len(span) + 1) for _ in range(len(t) + 1)]
+        price = lambda w: 1000 if s.telling(w) else 1
+        for j in range(len(t) + 1):
+            for k in range(len(span) + 1):
+                ways = [0] if j == k == 0 else []
+                ways += [cost[j - 1][k] + price(t[j - 1])] if j else []
+                ways += [cost[j][k - 1] + price(span[k - 1])] if k else []
+                ways += [cost[j - 1][k - 1]] if j and k and t[j - 1] == span[k - 1] else []
+                cost[j][k] = min(ways)
+        return cost[-1][-1]
+
+    seen = 0
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(s.words)[:]
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randint(0, 1)] = rng.choice([[], ["the"], ["under", "free"], ["work"]])
+            words += t + rng.choices(["the", "under", "license", "of", "wa", "wb"], k=rng.randint(0, 6))
+        got = [(a, b, i, missing, extra) for ws, at in [(words, 0)] for a, b, i, _, missing, extra in s.scan_block(ws)]
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        for a, b, i, missing, extra in got:
+            assert len(missing) + len(extra) == least(s.words[i], words[a:b]) <= s.most[i]
+        for i, t in enumerate(s.words):
+            for a in range(len(words)):
+                for b in range(a + max(1, len(t) - s.most[i]), min(len(words), a + len(t) + s.most[i]) + 1):
+                    if {x for x in words[a:b] if s.telling(x)} == s.fixed[i] and least(t, words[a:b]) <= s.most[i]:
+                        seen += 1
+                        assert any(x[0] < b and a < x[1] for x in got), (s.names[i], words[a:b])
+    assert seen > 100
+
+
 def test_licenses_without_stems():
     s = licenses.Scanner()
     for text, want in (("Available under CC-BY-SA-4.0.", "CC-BY-SA-4.0"), ("This is free and unencumbered software put into the public\ndomain.", "Unlicense")):
@@ -304,6 +359,27 @@ def test_line_index_is_reversible(spark):
     assert rows(back.counts) == rows(one.counts) and rows(back.rewrite(a)) == rows(one.rewrite(a))
 
 
+def test_line_index_of_many_shards(spark):
+    rng = random.Random(4)
+    lines = [f"a shared line of its own, number {k}" for k in range(400)]
+    rows = [(i, "\n".join([*rng.sample(lines, 12), "one line that nearly all of the documents hold" if i % 8 else "short"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text = lambda df: {r.doc_id: r.text for r in df.collect()}
+    index = line_dedup.LineIndex.build(docs, shard_keys=40)
+    assert index.shards >= 5 and text(index.rewrite(docs)) == lines_by_hand(rows)
+    counted = {(r.k1, r.k2): r.n for r in index.counts.collect()}
+    for block in (7, 1 << 16):  # a hot line's references lie in many blocks
+        got = [(r.k1, r.k2, r.doc) for r in index.hits(block).collect()]
+        want = [(r.k1, r.k2, r.doc) for r in index.refs.collect() if counted[r.k1, r.k2] >= 3]
+        assert len(got) == len(set(got)) and set(want) <= set(got) and len(got) <= 1.02 * len(want) + 2
+    # a few documents build small filters, which the others outgrow
+    few = line_dedup.LineIndex.build(docs.where("doc_id < 8"), shard_keys=40)
+    grown = few.insert(docs.where("doc_id >= 8"))
+    assert grown.shards > few.shards and text(grown.rewrite(docs)) == lines_by_hand(rows)
+    back = grown.delete(docs.where("doc_id >= 8").select("doc_id"))
+    assert text(back.rewrite(docs.where("doc_id < 8"))) == lines_by_hand(rows[:8])
+
+
 def test_cuckoo():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(-(2**62), 2**62, 20_000))
@@ -332,20 +408,61 @@ def test_media_classes(spark):
 
 
 def test_media_links_do_not_depend_on_size(spark, monkeypatch):
-    # two images whose four corners have just the first 40 tests alike, and one test of each later byte differing, among more than 2**14 others
+    # two images whose five corners have just the first 40 tests alike, and one test of each later byte differing, among more than 2**14 others
     rng = np.random.default_rng(6)
-    one = rng.integers(0, 256, (4, 32), dtype=np.uint8)
+    one = rng.integers(0, 256, (5, 32), dtype=np.uint8)
     two = one.copy()
     two[:, 5:] ^= 1
-    geo = media.to_units(np.array([[20, 20, 1, 0], [20, 70, 1, 0], [70, 20, 1, 0], [70, 70, 1, 0]], np.float32)).tobytes()
+    geo = np.array([[20, 20, 1, 0], [20, 70, 1, 0], [70, 20, 1, 0], [70, 70, 1, 0], [45, 45, 1, 0]], np.float32).tobytes()
     others = rng.integers(0, 256, (16_500, 32), dtype=np.uint8)
-    rows = [(0, bytearray(geo), bytearray(one.tobytes()), 4), (1, bytearray(geo), bytearray(two.tobytes()), 4)]
-    rows += [(i, bytearray(geo[:8]), bytearray(b.tobytes()), 1) for i, b in enumerate(others, 2)]
+    rows = [(0, bytearray(geo), bytearray(one.tobytes()), 5), (1, bytearray(geo), bytearray(two.tobytes()), 5)]
+    rows += [(i, bytearray(geo[:16]), bytearray(b.tobytes()), 1) for i, b in enumerate(others, 2)]
     monkeypatch.setattr(media, "features", lambda m, i, c: m)
     got = {r.id: r.class_id for r in media.media_copies(spark.createDataFrame(rows, "id long, geo binary, bits binary, n int"), "id", "geo").collect()}
     assert got == {i: i if i > 1 else 0 for i in range(len(rows))}
 
 
+def turned(img, degrees, scale):
+    """img turned about its centre and resized, bilinear; what comes from outside is grey."""
+    a, (h, w) = np.deg2rad(degrees), img.shape
+    y, x = np.mgrid[: int(h * scale), : int(w * scale)].astype(np.float32)
+    y, x = (y - (int(h * scale) - 1) / 2) / scale, (x - (int(w * scale) - 1) / 2) / scale
+    yy, xx = np.cos(a) * y - np.sin(a) * x + (h - 1) / 2, np.sin(a) * y + np.cos(a) * x + (w - 1) / 2
+    src = media.blur(img[None].astype(np.float32))[0] if scale < 1 else img.astype(np.float32)
+    y0, x0 = np.clip(np.floor(yy).astype(int), 0, h - 2), np.clip(np.floor(xx).astype(int), 0, w - 2)
+    fy, fx = np.clip(yy - y0, 0, 1), np.clip(xx - x0, 0, 1)
+    out = src[y0, x0] * (1 - fy) * (1 - fx) + src[y0 + 1, x0] * fy * (1 - fx) + src[y0, x0 + 1] * (1 - fy) * fx + src[y0 + 1, x0 + 1] * fy * fx
+    return np.where((yy < 0) | (yy > h - 1) | (xx < 0) | (xx > w - 1), 128, np.rint(out))
+
+
+EDITS = [(5, 1), (10, 1), (20, 1), (30, 1), (45, 1), (0, 0.5), (0, 0.67), (0, 0.8), (0, 1.25), (0, 1.5), (0, 2), (15, 0.8)]
+
+
+@pytest.mark.parametrize("n", [40, 160])
+def test_media_recall(spark, n):
+    # every image against all edited ones: which pairs does the consensus confirm, and which of them share a class?
+    vec = np.random.default_rng(8).normal(size=(n, 64))
+    base = [media.draw(v, 0) for v in vec]
+    rows = [(k, bytearray(media.pgm(x))) for k, x in enumerate(base)]
+    rows += [(n + k, bytearray(media.pgm(np.clip(turned(x, *EDITS[k % len(EDITS)]), 0, 255)))) for k, x in enumerate(base)]
+    got = {r.id: r.class_id for r in media.media_copies(spark.createDataFrame(rows, "id long, img binary").repartition(4), "id", "img").collect()}
+    corners = [media.describe(media.read_pgm(bytes(b))[None])[0] for _, b in rows]
+    told = [(a, n + b) for a in range(n) for b in range(n) if media.consensus(corners[a], corners[n + b], 48) >= 5]
+    assert len(told) > 0.9 * n and {b - a for a, b in told} == {n}  # no unlike pair is confirmed
+    assert np.mean([got[a] == got[b] for a, b in told]) > 0.8
+    assert all(c == i % n for i, c in got.items() if c != i)
+
+
+def test_media_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    small = np.kron(rng.integers(0, 256, (40, 30)), np.ones((4, 4))).astype(np.uint8)
+    large = np.kron(small, np.ones((60, 60), np.uint8))  # 9600 x 7200
+    shrunk, by = media.pooled(large)
+    assert by == 3 and shrunk.shape == (3200, 2400) and media.pooled(small)[1] == 1
+    df = spark.createDataFrame([(1, bytearray(media.pgm(large[:, ::-1]))), (2, bytearray(media.pgm(large[100:, 50:-40])))], "id long, img binary")
+    assert df.select("id").count() == 2 and all(r.n > 0 for r in media.features(df, "id", "img").select("n").collect())
+
+
 def test_media_copies_without_corners(spark):
     blank, icon = media.pgm(np.zeros((96, 96))), media.pgm(np.arange(256).reshape(16, 16))
     rows = [(5, blank), (4, blank), (None, blank), (9, icon), (8, icon), (6, b"no image"), (7, b"no image"), (3, media.pgm(np.ones((96, 96)))), (1, None), (2, None)]
@@ -396,3 +513,33 @@ def test_pipeline_stage_by_stage(spark):
             assert sorted((r.doc_id, bytes(r.ids)) for r in docs.collect()) == want
         if name != "bpe":
             assert docs.columns == before.columns
+
+
+def test_bpe_on_hash_collisions_and_long_words(monkeypatch):
+    t = tokenizer()
+    rng = random.Random(8)
+    texts = ["x" * 3000, "漢字" * 40 + " " + "ab'c" * 400, "z" * 70, "", " ".join("".join(rng.choices("abcdef", k=rng.randint(1, 5))) for _ in range(400))]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+    def check(b):
+        ids, n = b.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+    check(bpe.Bpe(bpe.default_vocabulary()))
+    b = bpe.Bpe(bpe.default_vocabulary(), max_words=50)  # forgets its words before each call
+    check(b)
+    check(b)
+    # every word has one of two hashes: all but two words of a call are found out by comparing them
+    monkeypatch.setattr(bpe, "_powers", lambda n: (np.zeros(n, np.uint64), np.zeros(n, np.uint64)))
+    b = bpe.Bpe(bpe.default_vocabulary())
+    check(b)
+    check(b)
+
+
+def test_hash_table():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 63, 20_000, dtype=np.uint64))
+    t = hashing.Table(4)
+    for part in np.array_split(np.arange(len(keys)), 7):
+        t.add(keys[part], part.astype(np.int32))
+    assert (t.get(keys) == np.arange(len(keys))).all() and (t.get(keys + np.uint64(1)) == -1).mean() > 0.99
