@@ -543,3 +543,16 @@ def test_hash_table():
     for part in np.array_split(np.arange(len(keys)), 7):
         t.add(keys[part], part.astype(np.int32))
     assert (t.get(keys) == np.arange(len(keys))).all() and (t.get(keys + np.uint64(1)) == -1).mean() > 0.99
+
+
+def test_pipeline_on_edge_rows_and_no_rows(spark, edge):
+    import corpus_pipeline as p
+
+    docs = edge.select("doc_id", "text", F.lit("xx").alias("lang"), "source", F.char_length("text").cast("long").alias("n_chars"))
+    for table in (docs, docs.where("false")):
+        out = table
+        for k, (_, stage) in enumerate(p.STAGES):
+            before, out = out.count(), common.stash(stage(spark, out, SF), "test-edge")
+            assert out.count() <= (3 if k == 3 else 1) * before
+            assert k == len(p.STAGES) - 1 or out.columns == docs.columns
+        assert (out.count() == 0) == table.isEmpty()
