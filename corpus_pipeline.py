@@ -16,29 +16,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject. Null and empty texts score what the model's bias gives; rows with null ids and repeated rows are judged each; an empty table stays empty."""
     return drop_toxic(docs.select(*COLUMNS), load(spark, sf_dir, "labels"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that three or more documents share (but for the last of these documents); n_chars follows the text."""
+    """Every document, without the lines that three or more documents share (but for the last of these documents); n_chars follows the text.
+
+    Null texts stay null; rows with a null id keep all lines; rows that repeat an id are one document; an empty table stays empty."""
     out = line_dedup(docs.select(*COLUMNS))
     shorter = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", shorter).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the smallest id (null last), one row of those that repeat it. Null texts and texts without words are copies of each other; an empty table stays empty."""
     return simhash_dedup(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once, or up to three times."""
+    """Documents as often as the mix takes them: not at all, once, or up to three times. Null texts have size 0 and null sources are one source; repeated rows count each; an empty table stays empty."""
     return mixed_rows(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row (little-endian unsigned 32-bit integers), with a digest of the text that they decode to."""
+    """Token ids of every row (little-endian unsigned 32-bit integers), with a digest of the text that they decode to. A null text has no ids; rows stay as they are; an empty table stays empty."""
     return round_trip(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
