@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 from .cursor import Document, to_json
-from .documents import EXTENSIONS, format_of_name, parse_json, render_bytes
+from .documents import ENDINGS, format_of_name, parse_json, render_to
 from .encoder import Options
 
 
@@ -92,13 +92,13 @@ class DocumentsWriter(DataSourceWriter):
     def write(self, rows) -> WriterCommitMessage:
         store, base = _store(self.options["path"])
         fmt = self.options.get("format", "text")
-        ending = next(e for e, f in EXTENSIONS.items() if f == fmt)
+        ending = ENDINGS[fmt]
         folder = f"{base}/{self.job}/{uuid.uuid4().hex}"
         store.create_dir(folder, recursive=True)
         tune = {k: kind(self.options[k]) for k, kind in (("index_over", float), ("chain_over", int), ("delimiters", str), ("share_below", float)) if k in self.options}
         for r in rows:
             with store.open_output_stream(f"{folder}/{r['name']}{ending}") as out:
-                out.write(render_bytes(parse_json(r["json"]), fmt, Options(**tune)))
+                render_to(out, parse_json(r["json"]), fmt, Options(**tune))
         return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -110,7 +110,7 @@ class DocumentsWriter(DataSourceWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError(f"several documents have the name {next(n for n in names if names.count(n) > 1)!r}")
-        there = {f.base_name: f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and format_of_name(f.path)}
+        there = {f.base_name: f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and (format_of_name(f.path) or f.path.endswith(ENDINGS["tree"]))}
         for n, p in there.items():
             if self.overwrite or n in names:
                 store.delete_file(p)

@@ -6,20 +6,23 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping
 from itertools import islice
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cursor import Document, decode, to_json
-from .encoder import Options, encode, identity
+from .encoder import Options, encode, encode_to, identity
 from .tree import tree
 from .wire import UNDEFINED, CodecError, wire_of
 
 #: Endings of file names and what they hold; callers with other endings pass their own table.
 EXTENSIONS: Mapping[str, str] = {".json": "json", ".jsonc": "json", ".adt": "text", ".adb": "binary"}
 
+#: The ending of written files by format; trees are written, not read.
+ENDINGS: Mapping[str, str] = {"json": ".json", "text": ".adt", "binary": ".adb", "tree": ".txt"}
+
 
 def format_of_name(path: str, extensions: Mapping[str, str] = EXTENSIONS) -> str | None:
     return next((f for e, f in extensions.items() if path.lower().endswith(e)), None)
@@ -105,6 +108,15 @@ def render_bytes(value: Any, fmt: str, options: Options | None = None) -> bytes:
     return to_json(value).encode() if fmt == "json" else encode(value, fmt, options)
 
 
+def render_to(out: BinaryIO, value: Any, fmt: str, options: Options | None = None) -> int:
+    """Writes value to an open file and returns the number of bytes; encoded documents chunk by chunk."""
+    if fmt not in ("json", "tree"):
+        return encode_to(value, lambda _, chunk: out.write(chunk), fmt, options)
+    data = to_json(value).encode() if fmt == "json" else (tree(value) + "\n").encode()
+    out.write(data)
+    return len(data)
+
+
 def _per_value(f: Callable[[Any], Any], out_type: pa.DataType) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     def run(batches):
         for b in batches:
@@ -237,12 +249,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -
 
 
 def write_documents(df: DataFrame, json_col: str, name_col: str, path: str, fmt: str, options: Options | None = None) -> DataFrame:
-    """One file per row under path, named by name_col with the format's ending. Returns (name, bytes). A task that runs again writes the same files again.
+    """One file per row under path, named by name_col with the format's ending (json, text, binary, or tree: indented text for readers). Returns (name, bytes). A task that runs again writes the same files again.
 
     path: a URI that pyarrow's file systems open, shared by all executors.
     """
-    wire_of(fmt) if fmt != "json" else None
-    ending = next(e for e, f in EXTENSIONS.items() if f == fmt)
+    wire_of(fmt) if fmt not in ENDINGS else None
+    ending = ENDINGS[fmt]
 
     def run(batches):
         from pyarrow import fs
@@ -252,10 +264,8 @@ def write_documents(df: DataFrame, json_col: str, name_col: str, path: str, fmt:
         for b in batches:
             sizes = []
             for name, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = render_bytes(parse_json(j), fmt, options)
                 with store.open_output_stream(f"{base}/{name}{ending}") as out:
-                    out.write(data)
-                sizes.append(len(data))
+                    sizes.append(render_to(out, parse_json(j), fmt, options))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
 
     return df.select(F.col(name_col).cast("string"), json_col).mapInArrow(run, "name string, bytes long")

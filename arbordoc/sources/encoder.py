@@ -235,8 +235,30 @@ def encode(value: Any, fmt: str = "text", options: Options | None = None) -> byt
     return b"".join(parts)
 
 
+def encode_to(value: Any, put: Callable[[int, bytes], Any], fmt: str = "text", options: Options | None = None, chunk_size: int = 65536) -> int:
+    """Calls put(offset, chunk) while the document is written, with chunks of chunk_size bytes but for the last, so no more than a chunk and a node is held. Returns the number of bytes."""
+    held, done = bytearray(), 0
+
+    def emit(data: bytes) -> None:
+        nonlocal done
+        held.extend(data)
+        whole = len(held) // chunk_size * chunk_size
+        for at in range(0, whole, chunk_size):
+            put(done + at, bytes(held[at : at + chunk_size]))
+        if whole:
+            del held[:whole]
+            done += whole
+
+    w = _Writer(fmt, options or Options(), emit)
+    w.measure(value)
+    w.write(value)
+    if held:
+        put(done, bytes(held))
+    return w.pos
+
+
 def encode_chunks(value: Any, fmt: str = "text", options: Options | None = None, chunk_size: int = 65536) -> Iterator[tuple[int, bytes]]:
-    """The same bytes as (offset, chunk) with chunks of chunk_size bytes, but for the last."""
+    """The bytes of encode as (offset, chunk) with chunks of chunk_size bytes, but for the last. Holds the whole document, which encode_to doesn't."""
     data = encode(value, fmt, options)
     for at in range(0, len(data), chunk_size):
         yield at, data[at : at + chunk_size]

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arbordoc.sources.cursor import UNDEFINED, Document, decode, plain, to_json
-from arbordoc.sources.encoder import Options, encode, encode_chunks, identity, split_number
+from arbordoc.sources.encoder import Options, encode, encode_chunks, encode_to, identity, split_number
 from arbordoc.sources.wire import CodecError, classify, from_base64, pack_digits, to_base64, unpack_digits, unzigzag, zigzag
 
 PEOPLE = [{"name": "alice", "age": 1}, {"name": "bob", "age": 2}, {"name": "charlie", "age": 3}]
@@ -154,6 +154,15 @@ def test_chunks():
     assert [at for at, _ in parts] == list(range(0, len(encode(v)), 64))
 
 
+@pytest.mark.parametrize("fmt", ["text", "binary"])
+@pytest.mark.parametrize("size", [1, 7, 64, 65536])
+def test_chunks_while_writing(fmt, size):
+    v, got = {"rows": ["some text %d" % i for i in range(100)], "more": list(range(40))}, []
+    whole = encode(v, fmt)
+    assert encode_to(v, lambda at, chunk: got.append((at, chunk)), fmt, chunk_size=size) == len(whole)
+    assert b"".join(c for _, c in got) == whole and [at for at, _ in got] == list(range(0, len(whole), size))
+
+
 def test_nodes_cover_the_document():
     data = encode(PEOPLE)
     n = list(Document(data).nodes())

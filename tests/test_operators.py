@@ -1,6 +1,7 @@
 """Column functions, operators, sources, streams and the command line on small inputs."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 from arbordoc import cli
 from arbordoc.functions import arrays, paths, scalars
 from arbordoc.operators import inspection, layouts, lookup, nodes
-from arbordoc.sources import datasource, documents
+from arbordoc.sources import datasource, display, documents
 from arbordoc.sources.cursor import decode
 from arbordoc.sources.encoder import encode
+from arbordoc.sources.tree import tree
 from arbordoc.sources.wire import CodecError
 from arbordoc.streaming import events
 from conftest import SF
@@ -155,6 +157,65 @@ def test_command_line(tmp_path, capsysbinary):
     assert b"binary" in capsysbinary.readouterr().out
 
 
+def test_colours_and_hexdump(monkeypatch):
+    v = {"a b": "x: 1", "on": True, "no": None, "n": [-1.5, 2e9], "f": float("-inf")}
+    for text in (tree(v), json.dumps(v, indent=1)):
+        shown = display.coloured(text)
+        assert re.sub(r"\x1b\[[0-9]*m", "", shown) == text
+        kinds = {k: re.findall(re.escape(c) + r"(.*?)\x1b\[0m", shown) for k, c in display.COLOURS.items()}
+        assert kinds["string"] == ['"x: 1"'] and kinds["boolean"] == ["true"] and kinds["null"] == ["null", "-Infinity"]
+        assert [float(x) for x in kinds["number"]] == [-1.5, 2e9] and [k.strip('"') for k in kinds["key"]] == list(v)
+    assert display.hexdump(bytes(range(18))) == "00 01 02 03 04 05 06 07 08 09 0a 0b 0c 0d 0e 0f\n10 11\n" and display.hexdump(b"") == ""
+    monkeypatch.delenv("FORCE_COLOR", raising=False)
+    monkeypatch.setenv("NO_COLOR", "1")
+    assert not display.wants_colour(None, True) and display.wants_colour(True, False)
+    monkeypatch.setenv("FORCE_COLOR", "1")
+    assert display.wants_colour(None, False) and not display.wants_colour(False, True)
+    monkeypatch.setenv("FORCE_COLOR", "0")
+    monkeypatch.setenv("NO_COLOR", "")
+    assert display.wants_colour(None, True) and not display.wants_colour(None, False)
+
+
+def test_more_of_the_command_line(tmp_path, capsysbinary):
+    f = tmp_path / "x.json"
+    f.write_text('{"name":"n","nest":{"x":[1,2]}}')
+    out = lambda *argv: (cli.main(list(argv)), capsysbinary.readouterr())
+    assert out("show", str(f), "--color", "-f", "json")[1].out.count(b"\x1b[0m") == 6
+    assert b"\x1b" not in out("show", str(f), "--no-color")[1].out
+    assert out("hexdump", str(f))[1].out.startswith(b"7b 22 6e 61")
+    assert out("complete", "--", "sh")[1].out == b"show\n" and out("complete", "--", "show", str(f), "n")[1].out == b"name\nnest\n"
+    assert out("complete", "--", "show", str(f), "nest", "x", "")[1].out == b"0\n1\n" and out("complete", "--", "convert", "--t")[1].out == b"--to\n"
+    assert out("complete", "--", "show", "/no/file", "")[1].out == b"" and out("complete", "--", "what", "")[1].out == b""
+    for shell in cli.SHELLS:
+        assert b"complete -o default" in out("completions", shell)[1].out
+    code, said = out("shwo", str(f))
+    assert code == 2 and b"did you mean 'show'" in said.err
+    code, said = out("show", str(f), "--fromat=json")
+    assert code == 2 and b"did you mean '--format'" in said.err
+    assert b"did you mean" not in out("qqqqqqqq")[1].err
+    assert b"--index-over" in out("help", "convert")[1].out and b"completions" in out("help")[1].out
+    told = out("demo")[1].out
+    assert encode(cli.SAMPLE) in told and display.hexdump(encode(cli.SAMPLE, "binary")).encode() in told
+    assert out("convert", str(f), "-", "--to", "tree")[1].out == b'{\n  name: "n"\n  nest: {\n    x: [ 1, 2 ]\n  }\n}\n'
+
+
+def test_trees_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("x", '{"k":[1,2]}')], "name string, json string")
+    assert documents.write_documents(df, "json", "name", f"file://{tmp_path}/a", "tree").first().bytes == len("{\n  k: [ 1, 2 ]\n}\n")
+    datasource.register(spark)
+    df.write.format("arbordoc").option("format", "tree").mode("append").save(str(tmp_path / "b"))
+    assert (tmp_path / "a" / "x.txt").read_text() == (tmp_path / "b" / "x.txt").read_text() == tree({"k": [1, 2]}) + "\n"
+    with pytest.raises(ValueError, match="format must be"):
+        documents.write_documents(df, "json", "name", f"file://{tmp_path}/a", "yaml")
+
+
+def test_shared_containers_have_one_target(spark):
+    shared = {"x": [1, 2, 3]}
+    df = spark.createDataFrame([(1, bytearray(encode([shared, 5, shared, shared])))], "id int, p binary")
+    rows = inspection.resolve(inspection.encoding_nodes(df, "id", "p"), "id").where("depth = 1").orderBy("ord").collect()
+    assert rows[0].resolved == rows[2].resolved == rows[3].resolved != rows[1].resolved
+
+
 def test_layouts_are_told_apart_by_keys(spark):
     df = spark.createDataFrame([('{"a,b":3}',), ('{"a":1,"b":2}',)], "j string")
     assert sorted((r.layout, list(r["keys"]), r.n_docs, r.layout_id) for r in layouts.layout_catalogue(df, "j").collect()) == [("a,b", ["a", "b"], 1, 0), ("a,b", ["a,b"], 1, 1)]
