@@ -528,4 +528,5 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, whole texts, encoded and decoded again. A null text is empty: no ids. See round_trip."""
     return round_trip(load(spark, sf_dir, "documents"), keep_ids=False)

@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, dropped rows too; every row is hashed, since the result names its hash. Null texts are empty. See exact_dedup."""
     return exact_dedup(load(spark, sf_dir, "documents"), digest_all=True)
 
 

@@ -90,6 +90,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, one row each, with the words that the mix takes. Null texts have size 0, null sources come last. See mix."""
     return mix(load(spark, sf_dir, "documents"))
 
 

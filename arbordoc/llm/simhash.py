@@ -174,4 +174,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents with fingerprints and components. Null texts have fingerprint zero. See simhash_classes."""
     return simhash_classes(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

@@ -303,4 +303,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents with their scores; the classifier learns from labels that are not held out. Empty and null texts score too. See toxicity."""
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
