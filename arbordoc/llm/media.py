@@ -23,6 +23,7 @@ SPOT = 6  # pixels
 BANDS = 8
 #: Bytes of tests in a key, at any number of images: whether two images are linked must not depend on how many others there are.
 KEY_BYTES = 5
+SALTS = 32
 #: Images with a longer side are shrunk by a whole factor first, so that memory stays bounded.
 LONGEST = 4096
 ONE = np.zeros(0, np.float32)
@@ -292,9 +293,12 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
             whole = keep(stash(whole.join(shared, "key", "left_semi"), "media-table"))
         roots = _roots(whole, sets, most_bits, least, votes, block, rounds)
         where = sets.select("set", "node", "low")
-        where = where.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else where.withColumn("root", F.col("node"))
-        where = stash(where, "media-where")
-        named_class = keep_all(stash(where.select("set", "root").join(where.groupBy("root").agg(F.min("low").alias("low")), "root").select("set", F.col("low.id").alias("class_id")), "media-classes"))
+        alone = where.withColumn("root", F.lit(None).cast("long")) if roots is None else where.join(roots, "node", "left")
+        where = stash(alone.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS))), "media-where")
+        # a class may hold a third of all images: its rows are dealt over SALTS tasks, and its smallest id goes to each; images without links need no join
+        least_of = where.where("root is not null").groupBy("root").agg(F.min("low").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        linked = where.where("root is not null").select("set", "root", "salt").join(least_of, ["root", "salt"]).select("set", F.col("low.id").alias("class_id"))
+        named_class = keep_all(stash(linked.unionByName(where.where("root is null").select("set", F.col("low.id").alias("class_id"))), "media-classes"))
     plain = rows.where("n = 0 and length(bits) > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
     named_class = named_class.unionByName(plain.groupBy("set").agg(low).select("set", F.col("low.id").alias("class_id")))
     out = rows.withColumn("set", F.when(F.length("bits") > 0, F.sha2(F.concat("geo", "bits"), 256))).select("id", "n", "set").join(named_class, "set", "left")
