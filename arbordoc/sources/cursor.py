@@ -38,9 +38,9 @@ class Document:
             base = self.wire.node(self.data, x.tag_at)
             if base.kind != "int":
                 raise CodecError(f"an exponent without a number at {x.tag_at}")
-            x = Node("exp", x.number, x.tag_at, right, body=x.tag_at - base.left)
+            x = Node("exp", x.number, x.tag_at, right, base.left)
         elif x.kind == "index":
-            x = Node("index", x.number, x.tag_at, right, body=(x.number >> 3) * ((x.number & 7) + 1))
+            x = Node("index", x.number, x.tag_at, right, x.tag_at - (x.number >> 3) * ((x.number & 7) + 1))
         if x.left < 0:
             raise CodecError(f"the node at {x.tag_at} is longer than the document")
         return x
@@ -209,12 +209,16 @@ class Document:
 
     def value(self, right: int | None = None, memo: dict[int, Any] | None = None) -> Any:
         """The value of the node that ends at right (the root). Shared nodes give the same object. Unknown refs give UNDEFINED."""
-        memo = {} if memo is None else memo
-        x = self.target(self.root if right is None else right)
+        return self._value(self.target(self.root if right is None else right), {} if memo is None else memo)
+
+    def _value(self, x: Node, memo: dict[int, Any]) -> Any:
+        """The value of a node that isn't a pointer."""
         if x.right in memo:
             return memo[x.right]
         if x.kind == "int":
             v: Any = (x.number >> 1) ^ -(x.number & 1)
+        elif x.kind == "str":
+            v = self.wire.text(self.data, x)
         elif x.kind == "exp":
             m, e = (((n >> 1) ^ -(n & 1)) for n in (self.wire.node(self.data, x.tag_at).number, x.number))
             v = m * 10**e if 0 <= e <= 30 else float(f"{m}e{e}")
@@ -226,10 +230,24 @@ class Document:
             v = CONSTANTS[NAMES[x.name]] if x.name in NAMES else self.refs.get(x.name, UNDEFINED)
         elif x.kind == "list":
             v = memo[x.right] = []
-            v += [self.value(r, memo) for r in self.children(x)]
+            _, _, right = self.parts(x)
+            while right > x.left:
+                c = self.node(right)
+                v.append(self._value(c if c.kind != "ptr" else self.target(right), memo))
+                right = c.left
         elif x.kind == "map":
             v = memo[x.right] = {}
-            v.update((k, self.value(r, memo)) for k, r in self.entries(x))
+            keys, _, right = self.parts(x)
+            if keys is None:
+                for k, r in self.entries(x):
+                    v[k] = self._value(self.target(r), memo)
+            else:
+                for k in keys:
+                    if right <= x.left:
+                        break
+                    c = self.node(right)
+                    v[k] = self._value(c if c.kind != "ptr" else self.target(right), memo)
+                    right = c.left
         else:
             raise CodecError(f"{x.kind} can't stand alone")
         memo[x.right] = v
@@ -274,8 +292,11 @@ def walk(value: Any, path: list[str], strict: bool = False) -> Any:
 
 def plain(value: Any, inside_list: bool = True) -> Any:
     """value as JSON can write it: UNDEFINED goes from maps and becomes null elsewhere, and so do NaN and the infinities."""
-    if isinstance(value, Mapping):
-        return {k: plain(v) for k, v in value.items() if v is not UNDEFINED}
+    kind = type(value)
+    if kind is str or kind is int or value is None:
+        return value
+    if kind is dict or isinstance(value, Mapping):
+        return {k: v if type(v) is str else plain(v) for k, v in value.items() if v is not UNDEFINED}
     if isinstance(value, list | tuple):
         return [plain(v) for v in value]
     if value is UNDEFINED or isinstance(value, float) and not math.isfinite(value):
@@ -283,5 +304,8 @@ def plain(value: Any, inside_list: bool = True) -> Any:
     return int(value) if isinstance(value, float) and value == int(value) and abs(value) < 2**53 else value
 
 
+COMPACT = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
+
+
 def to_json(value: Any, indent: int | None = None) -> str:
-    return json.dumps(plain(value), ensure_ascii=False, indent=indent, separators=(",", ":") if indent is None else (",", ": "))
+    return COMPACT.encode(plain(value)) if indent is None else json.dumps(plain(value), ensure_ascii=False, indent=indent, separators=(",", ": "))

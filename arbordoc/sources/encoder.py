@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import lru_cache
 from typing import Any
 
 from .wire import UNDEFINED, wire_of, zigzag
 
 SAFE = 2**53 - 1
 PLAIN = (str, int, float, type(None))
-MAPS = (dict, Mapping)
 
 
 @dataclass(frozen=True)
@@ -42,11 +43,11 @@ def split_number(x: int | float) -> tuple[int, int]:
         m = digits.rstrip("0")
         return int(m), len(digits) - len(m)
     size = math.floor(math.log10(abs(x))) if isinstance(x, float) else len(str(abs(x))) - 1
-    _, digits, exp = Decimal(f"{Decimal(x):.{13 if -7 < size < 14 else 14}e}").as_tuple()
-    m = int("".join(map(str, digits))) * (-1 if x < 0 else 1)
-    while m and m % 10 == 0:
-        m, exp = m // 10, exp + 1
-    return m, exp
+    whole, _, rest = f"{x if isinstance(x, float) else Decimal(x):.{13 if -7 < size < 14 else 14}e}".partition(".")
+    rest, _, exp = rest.partition("e")
+    digits = whole + rest
+    m = digits.rstrip("0")
+    return int(m), int(exp) - len(rest) + len(digits) - len(m)
 
 
 def identity(value: Any) -> str:
@@ -64,6 +65,11 @@ def identity(value: Any) -> str:
     return "c" + repr(value)
 
 
+@lru_cache(16)
+def any_of(delimiters: str) -> re.Pattern | None:
+    return re.compile(f"[{re.escape(delimiters)}]") if delimiters else None
+
+
 def utf16_length(s: str) -> int:
     return len(s) if s.isascii() else len(s.encode("utf-16-le", "surrogatepass")) // 2
 
@@ -72,6 +78,7 @@ class _Writer:
     def __init__(self, fmt: str, options: Options, emit: Callable[[bytes], None]):
         self.o, self.emit, self.pos = options, emit, 0
         self.wire = wire_of(fmt, tuple(options.refs))
+        self.head = self.wire.head
         self.ref_names = {identity(v): k for k, v in options.refs.items()}
         self.seen: dict[Any, tuple[int, int]] = {}
         self.layouts: dict[tuple[str, ...], int | str] = {}
@@ -82,6 +89,7 @@ class _Writer:
         self.prefixes: set[str] = set()
         self.small: dict[int, Any] = {}
         self.known: dict[tuple, Any] = {}
+        self.delimiter = any_of(options.delimiters)
 
     def put(self, data: bytes) -> None:
         self.emit(data)
@@ -99,19 +107,20 @@ class _Writer:
         """Number of nodes below and with value, and its key. Small containers are noted with theirs: one object for all that are equal, order of keys included."""
         if isinstance(value, PLAIN):
             return 1, self.key(value)
-        if isinstance(value, MAPS):
+        if type(value) is dict or not isinstance(value, list | tuple) and isinstance(value, Mapping):
             n, parts = 1 + len(value), ["{"]
             for k, v in value.items():
-                if isinstance(v, str):
+                if (kind := type(v)) is str or kind is int:
                     m, own = 1, v
                 else:
                     m, own = self.measure(v)
                 n += m
-                parts += k, own
+                parts.append(k)
+                parts.append(own)
         elif isinstance(value, list | tuple):
             n, parts = 1, ["["]
             for v in value:
-                m, own = self.measure(v)
+                m, own = (1, v) if (kind := type(v)) is str or kind is int else self.measure(v)
                 n += m
                 parts.append(own)
         else:
@@ -133,9 +142,18 @@ class _Writer:
     def write(self, v: Any, may_ref: bool = True) -> None:
         if may_ref and self.ref_names and (name := self.ref_names.get(identity(v))) is not None:
             return self.put(self.wire.ref(name))
-        if v is None or v is UNDEFINED or isinstance(v, bool):
+        kind = type(v)
+        if kind is str:
+            if len(v) < 2 and not self.ref_names and self.cheap(v):
+                return self.string(v)
+            key = v
+        elif kind is int:
+            if -2048 <= v <= 2048 and not self.ref_names:
+                return self.number(v)
+            key = v
+        elif v is None or v is UNDEFINED or kind is bool:
             return self.body(v)
-        if isinstance(v, PLAIN):
+        elif isinstance(v, PLAIN):
             if not self.ref_names and self.cheap(v):
                 return self.body(v)
             key = self.key(v)
@@ -143,27 +161,35 @@ class _Writer:
             key = self.small.get(id(v))
         if key is None:
             return self.body(v)
-        if key in self.seen:
-            end, cost = self.seen[key]
-            short = self.wire.head("ptr", self.pos - end)
+        if (seen := self.seen.get(key)) is not None:
+            end, cost = seen
+            short = self.head("ptr", self.pos - end)
             if len(short) < cost:
                 return self.put(short)
         before = self.pos
-        self.body(v)
+        if kind is str:
+            self.string(v)
+        elif kind is int:
+            self.number(v)
+        else:
+            self.body(v)
         self.seen[key] = self.pos, self.pos - before
 
     def body(self, v: Any) -> None:
-        if v is None or v is UNDEFINED or isinstance(v, bool):
-            self.put(self.wire.constant("undef" if v is UNDEFINED else {None: "null", True: "true", False: "false"}[v]))
+        kind = type(v)
+        if kind is dict:
+            self.mapping(v)
         elif isinstance(v, str):
             self.string(v)
+        elif v is None or v is UNDEFINED or isinstance(v, bool):
+            self.put(self.wire.constant("undef" if v is UNDEFINED else "null" if v is None else "true" if v else "false"))
         elif isinstance(v, int | float):
             self.number(v)
         elif isinstance(v, list | tuple):
             start = self.pos
             self.children(v)
-            self.put(self.wire.head("list", self.pos - start))
-        elif isinstance(v, MAPS):
+            self.put(self.head("list", self.pos - start))
+        elif isinstance(v, Mapping):
             self.mapping(v)
         else:
             raise TypeError(f"can't encode {type(v).__name__}")
@@ -171,20 +197,22 @@ class _Writer:
     def number(self, x: int | float) -> None:
         if isinstance(x, float) and not math.isfinite(x):
             return self.put(self.wire.constant("nan" if x != x else "inf" if x > 0 else "ninf"))
+        if type(x) is int and -(10**21) < x < 10**21 and (x % 100000 or not x):  # with fewer than five zeros at its end it is written as it is
+            return self.put(self.head("int", zigzag(x)))
         m, e = split_number(x)
         if 0 <= e < 5:
-            return self.put(self.wire.head("int", zigzag(m * 10**e)))
-        self.put(self.wire.head("int", zigzag(m)) + self.wire.head("exp", zigzag(e)))
+            return self.put(self.head("int", zigzag(m * 10**e)))
+        self.put(self.head("int", zigzag(m)) + self.wire.head("exp", zigzag(e)))
 
     def string(self, s: str) -> None:
-        if self.o.delimiters and utf16_length(s) > self.o.chain_over:
-            cuts = [i for i, c in enumerate(s) if i and c in self.o.delimiters]
+        if self.delimiter and 2 * len(s) > self.o.chain_over and utf16_length(s) > self.o.chain_over:
+            cuts = [m.start() for m in self.delimiter.finditer(s, 1)]
             cut = next((i for i in reversed(cuts) if s[:i] in self.prefixes), None)
             if cut is not None:
                 start = self.pos
                 self.write(s[cut:], may_ref=False)
                 self.write(s[:cut], may_ref=False)
-                return self.put(self.wire.head("chain", self.pos - start))
+                return self.put(self.head("chain", self.pos - start))
             self.prefixes.update(s[:i] for i in cuts)
         self.put(self.wire.string(s))
 
@@ -194,26 +222,31 @@ class _Writer:
         if width > 8:
             raise OverflowError("container too large for an index")
         self.put(b"".join(self.wire.slot(d, width) for d in far))
-        self.put(self.wire.head("index", len(ends) * 8 + width - 1))
+        self.put(self.head("index", len(ends) * 8 + width - 1))
 
     def children(self, values: Any) -> None:
+        if len(values) <= self.o.index_over:
+            for v in reversed(values):
+                self.write(v)
+            return
         ends = []
         for v in reversed(values):
             self.write(v)
             ends.append(self.pos)
-        if len(ends) > self.o.index_over:
-            self.index(ends[::-1])
+        self.index(ends[::-1])
 
     def mapping(self, v: Mapping[str, Any]) -> None:
         keys = tuple(v)
-        if not all(isinstance(k, str) for k in keys):
+        shared = self.layouts.get(keys)
+        if shared is None and not all(isinstance(k, str) for k in keys):
             raise TypeError("keys must be strings")
         start = self.pos
-        shared = self.layouts.get(keys) if len(keys) >= self.wire.least_layout else None
+        if len(keys) < self.wire.least_layout:
+            shared = None
         if shared is not None:
             self.children(list(v.values()))
             self.put(self.wire.ref(shared) if isinstance(shared, str) else self.wire.head("ptr", self.pos - shared))
-            return self.put(self.wire.head("map", self.pos - start))
+            return self.put(self.head("map", self.pos - start))
         ends: dict[str, int] = {}
         for k in reversed(keys):
             self.write(v[k])
@@ -221,15 +254,18 @@ class _Writer:
             ends[k] = self.pos
         if len(keys) > self.o.index_over:
             self.index([ends[k] for k in sorted(keys, key=lambda k: k.encode("utf-8", "replace"))])
-        self.put(self.wire.head("map", self.pos - start))
+        self.put(self.head("map", self.pos - start))
         if keys:
             self.layouts[keys] = self.pos
 
 
+DEFAULT = Options()
+
+
 def encode(value: Any, fmt: str = "text", options: Options | None = None) -> bytes:
     """value (None, bool, int, float, str, list, dict, UNDEFINED) as one document."""
     parts: list[bytes] = []
-    w = _Writer(fmt, options or Options(), parts.append)
+    w = _Writer(fmt, options or DEFAULT, parts.append)
     w.measure(value)
     w.write(value)
     return b"".join(parts)
@@ -249,7 +285,7 @@ def encode_to(value: Any, put: Callable[[int, bytes], Any], fmt: str = "text", o
             del held[:whole]
             done += whole
 
-    w = _Writer(fmt, options or Options(), emit)
+    w = _Writer(fmt, options or DEFAULT, emit)
     w.measure(value)
     w.write(value)
     if held:

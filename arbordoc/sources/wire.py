@@ -5,12 +5,19 @@ A node is [body][tag and number], read from its right end. Both forms share all
 
 from __future__ import annotations
 
+import binascii
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 #: The digits of base 64, most significant first in numbers.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_"
 DIGIT = {c: i for i, c in enumerate(ALPHABET.encode())}
+#: Each byte's value as a digit, -1 for what is none.
+VALUES = [DIGIT.get(b, -1) for b in range(256)]
+#: Numbers below 4096 as two digits, and without leading zeros.
+PAIRS = [a + b for a in ALPHABET for b in ALPHABET]
+SHORT = [p.lstrip("0") for p in PAIRS]
 
 #: The literals, by name; the binary form's code is the position here.
 LITERALS: tuple[tuple[str, str], ...] = (("n", "null"), ("t", "true"), ("f", "false"), ("u", "undef"), ("inf", "inf"), ("nif", "ninf"), ("nan", "nan"))
@@ -44,10 +51,10 @@ def to_base64(n: int) -> str:
     if n < 0:
         raise ValueError(f"negative: {n}")
     out = ""
-    while n:
-        n, d = divmod(n, 64)
-        out = ALPHABET[d] + out
-    return out
+    while n >= 4096:
+        out = PAIRS[n & 4095] + out
+        n >>= 12
+    return SHORT[n] + out
 
 
 def from_base64(s: bytes | str) -> int:
@@ -69,18 +76,18 @@ def unzigzag(z: int) -> int:
 
 @dataclass(slots=True)
 class Node:
-    """What stands at a right end: its kind, number (or a name's text), and where its tag begins. body: bytes that belong to it left of the tag."""
+    """What stands at a right end: its kind, number (or a name's text), where its tag begins, and where the bytes that belong to it begin."""
 
     kind: str
     number: int
     tag_at: int
     right: int
+    left: int
     name: str = ""
-    body: int = field(default=0)
 
     @property
-    def left(self) -> int:
-        return self.tag_at - self.body
+    def body(self) -> int:
+        return self.tag_at - self.left
 
 
 #: The text form's tags.
@@ -88,6 +95,23 @@ TEXT_TAGS = {"int": "+", "exp": "*", "str": ",", "name": "'", "list": ";", "map"
 #: The binary form's tags.
 BINARY_TAGS = {"int": 0, "exp": 1, "str": 2, "hex": 3, "name": 4, "list": 5, "map": 6, "ptr": 7, "chain": 8, "index": 9, "b64": 10}
 SIZED = ("str", "list", "map", "chain")
+TEXT_CONSTANTS = {long: b"'" + short.encode() for short, long in LITERALS}
+CODES = {long: i for i, (_, long) in enumerate(LITERALS)}
+
+
+@lru_cache(1 << 16)
+def text_head(kind: str, n: int) -> bytes:
+    return (TEXT_TAGS[kind] + to_base64(n)).encode()
+
+
+@lru_cache(1 << 16)
+def binary_head(kind: str, n: int) -> bytes:
+    rest = []
+    while n >= 8:
+        # the lowest bits go into extension bytes until three are left for the tag byte
+        rest.append(0x80 | n & 0x7F)
+        n >>= 7
+    return bytes([n << 4 | BINARY_TAGS[kind], *reversed(rest)])
 
 
 class TextWire:
@@ -99,11 +123,10 @@ class TextWire:
     def __init__(self, ref_names: tuple[str, ...] = ()):
         self.kinds = {v.encode()[0]: k for k, v in TEXT_TAGS.items()}
 
-    def head(self, kind: str, n: int) -> bytes:
-        return (TEXT_TAGS[kind] + to_base64(n)).encode()
+    head = staticmethod(text_head)
 
     def constant(self, what: str) -> bytes:
-        return b"'" + next(short for short, long in LITERALS if long == what).encode()
+        return TEXT_CONSTANTS[what]
 
     def ref(self, name: str) -> bytes:
         return b"'" + name.encode()
@@ -122,19 +145,19 @@ class TextWire:
         return from_base64(data)
 
     def node(self, data: bytes, right: int) -> Node:
-        at = right - 1
-        while at >= 0 and data[at] in DIGIT:
+        at, n, bits = right - 1, 0, 0
+        while at >= 0 and (d := VALUES[data[at]]) >= 0:
+            n |= d << bits
+            bits += 6
             at -= 1
         if at < 0:
             raise CodecError("no tag")
         kind = self.kinds.get(data[at])
         if kind is None:
             raise CodecError(f"unknown tag {chr(data[at])!r} at {at}")
-        digits = data[at + 1 : right]
         if kind == "name":
-            return Node(kind, 0, at, right, digits.decode())
-        n = from_base64(digits)
-        return Node(kind, n, at, right, body=n if kind in SIZED else 0)
+            return Node(kind, 0, at, right, at, data[at + 1 : right].decode())
+        return Node(kind, n, at, right, at - n if kind in SIZED else at)
 
     def text(self, data: bytes, x: Node) -> str:
         return data[x.left : x.tag_at].decode("utf-8", "replace")
@@ -151,20 +174,23 @@ def classify(s: str) -> str:
     return "hex" if HEX.fullmatch(s) else "b64" if B64.fullmatch(s) else "str"
 
 
+#: The digits of RFC 4648, whose codec packs and unpacks them.
+RFC = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+TO_RFC, FROM_RFC = bytes.maketrans(ALPHABET.encode(), RFC), bytes.maketrans(RFC, ALPHABET.encode())
+
+
 def pack_digits(s: str, bits: int) -> bytes:
     """bits per character, big-endian, padded at the left for hex digits (bits = 4) and at the right for base 64 (bits = 6)."""
     if bits == 4:
         return bytes.fromhex(s.rjust(len(s) + len(s) % 2, "0"))
-    n = from_base64(s)
     size = (6 * len(s) + 7) // 8
-    return (n << (8 * size - 6 * len(s))).to_bytes(size, "big")
+    return binascii.a2b_base64(s.encode().translate(TO_RFC) + b"A" * (-len(s) % 4))[:size]
 
 
 def unpack_digits(data: bytes, length: int, bits: int) -> str:
     if bits == 4:
         return data.hex()[-length:] if length else ""
-    n = int.from_bytes(data, "big") >> (8 * len(data) - 6 * length)
-    return to_base64(n).rjust(length, "0")
+    return binascii.b2a_base64(data, newline=False).translate(FROM_RFC)[:length].decode()
 
 
 class BinaryWire:
@@ -177,18 +203,10 @@ class BinaryWire:
         self.kinds = {v: k for k, v in BINARY_TAGS.items()}
         self.refs = sorted(ref_names)
 
-    def head(self, kind: str, n: int) -> bytes:
-        rest = []
-        while n >= 8:
-            # the lowest bits go into extension bytes until three are left for the tag byte
-            rest.append(0x80 | n & 0x7F)
-            n >>= 7
-            if n < 8:
-                break
-        return bytes([n << 4 | BINARY_TAGS[kind], *reversed(rest)])
+    head = staticmethod(binary_head)
 
     def constant(self, what: str) -> bytes:
-        return self.head("name", next(i for i, (_, long) in enumerate(LITERALS) if long == what))
+        return self.head("name", CODES[what])
 
     def ref(self, name: str) -> bytes:
         return self.head("name", len(LITERALS) + self.refs.index(name))
@@ -227,9 +245,9 @@ class BinaryWire:
         if kind == "name":
             own = n - len(LITERALS)
             name = LITERALS[n][0] if own < 0 else self.refs[own] if own < len(self.refs) else f"#{own}"
-            return Node(kind, n, at, right, name)
+            return Node(kind, n, at, right, at, name)
         body = n if kind in SIZED else (n + 1) // 2 if kind == "hex" else (6 * n + 7) // 8 if kind == "b64" else 0
-        return Node(kind, n, at, right, body=body)
+        return Node(kind, n, at, right, at - body)
 
     def text(self, data: bytes, x: Node) -> str:
         raw = data[x.left : x.tag_at]
@@ -241,6 +259,7 @@ class BinaryWire:
 WIRES = {"text": TextWire, "binary": BinaryWire}
 
 
+@lru_cache(64)
 def wire_of(fmt: str, ref_names: tuple[str, ...] = ()):
     if fmt not in WIRES:
         raise ValueError(f"format must be one of {sorted(WIRES)}, not {fmt!r}")

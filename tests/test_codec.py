@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from arbordoc.sources.cursor import UNDEFINED, Document, decode, plain, to_json
 from arbordoc.sources.encoder import Options, encode, encode_chunks, encode_to, identity, split_number
-from arbordoc.sources.wire import CodecError, classify, from_base64, pack_digits, to_base64, unpack_digits, unzigzag, zigzag
+from arbordoc.sources.wire import ALPHABET, CodecError, classify, from_base64, pack_digits, to_base64, unpack_digits, unzigzag, zigzag
 
 PEOPLE = [{"name": "alice", "age": 1}, {"name": "bob", "age": 2}, {"name": "charlie", "age": 3}]
 GOLDEN = [
@@ -169,3 +169,27 @@ def test_nodes_cover_the_document():
     assert n[0]["left"] == 0 and n[0]["right"] == len(data) and n[0]["kind"] == "list"
     assert sum(x["kind"] == "ptr" for x in n) == 2
     assert all(x["parent"] < x["node"] for x in n)
+
+
+@pytest.mark.parametrize("fmt", ["text", "binary"])
+def test_numbers_at_the_limits(fmt):
+    for n in (0, 9, 10, 99_999, 100_000, 1_200_000, 10**20 + 1, 10**21 - 1, 2**53):
+        for x in (n, -n, float(n)):
+            assert decode(encode(x, fmt), fmt) == x
+    # from 10**21 on, integers keep 15 significant digits, as fractions do
+    for n in (10**21 + 1, 2**70):
+        m, e = split_number(n)
+        assert e > 5 and decode(encode(n, fmt), fmt) == m * 10**e != n
+    assert split_number(-0.1) == (-1, -1) and split_number(1e-7) == (1, -7) and split_number(2 / 3) == (66666666666667, -14)
+
+
+def test_digits_are_packed_and_unpacked():
+    for size in range(20):
+        digits = (ALPHABET * 2)[7 * size % 64 :][:size]
+        number = 0
+        for c in digits:
+            number = number * 64 + ALPHABET.index(c)
+        packed = pack_digits(digits, 6)
+        assert packed == (number << (-6 * size % 8)).to_bytes((6 * size + 7) // 8, "big") and unpack_digits(packed, size, 6) == digits
+    for n in (0, 1, 63, 64, 4095, 4096, 2**24 - 1, 2**24, 2**63):
+        assert from_base64(to_base64(n)) == n and not to_base64(n).startswith("0")
