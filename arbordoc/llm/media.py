@@ -27,6 +27,15 @@ SALTS = 32
 #: Images with a longer side are shrunk by a whole factor first, so that memory stays bounded.
 LONGEST = 4096
 ONE = np.zeros(0, np.float32)
+#: The order of the tests, which decides whose tests make a key; distances don't depend on it. Tests of one key should tell different things, or unlike corners share it often. So pairs of
+#: tests were swapped while that raised the sum, over the keys, of log det of their tests' correlations in a picture whose grey values correlate by exp(-r^2 / 32) at r pixels. No data was used.
+#: It is written down, for a search might end elsewhere on another machine.
+ORDER = bytes.fromhex(
+    "001444080417067525a59ed5e2a1eee49403be36d85d8d842c90e13a024cf91259b2ebef4026b33b8238bf355c1c2a5f8f5841dbfefae89baecea66b7d24d4ab"
+    "d0a4f10a8892435a32543caa2fc746f2ddf0ff4dc2bc9a01edcc7a984a1e09dc60a86f7827a920d6ecea3ec96d0cf6e023ca8a560d57b6bd07f8dac810199f8e"
+    "bb747fb7a064b8f376a252798c6539b433f58162a3b173e54e930ed9cdfcfd7ef48b4734512995215b119d6e314f89962d1fde2eac55e6635e7bb0d3051b0f50"
+    "68c05372c47c1a6945a7add2912bfbc52870e73dd7df2230154bf7cbc1e91dc6614886e3717713186cb9498785afc3b59716d1ba80996637cf676a0b42839c3f"
+)
 
 
 def _pattern() -> np.ndarray:
@@ -42,7 +51,7 @@ def _pattern() -> np.ndarray:
     step = rng.uniform(3, 6, BITS) * np.where(across > 0, -1, 1)
     one = np.stack([across, along], 1)
     two = np.stack([across + step, np.clip(along + rng.uniform(-2, 2, BITS), -far, far)], 1)
-    p = np.concatenate([one, two])
+    p = np.concatenate([v[list(ORDER)] for v in (one, two)])
     a = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.stack([np.stack([np.cos(a), np.sin(a)], 1), np.stack([-np.sin(a), np.cos(a)], 1)], 1)
     return np.rint(np.einsum("tij,pj->tpi", turn, p)).astype(np.int32)
@@ -210,11 +219,32 @@ def features(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
 
 
 def _table_keys(sets: DataFrame) -> DataFrame:
-    """(key, node), once for each corner that has the key: the Hamming tables. The key of table j is KEY_BYTES bytes of a corner's tests, from the j-th of BANDS words on, around the end."""
+    """(key, node, tests), once for each corner that has the key: the Hamming tables. The key of table j is KEY_BYTES bytes of a corner's tests, from the j-th of BANDS words on, around the end."""
     corner, table = F.floor(F.col("at") / BANDS), F.col("at") % BANDS
     at = sets.select("node", "bits", F.explode(F.sequence(F.lit(0), F.col("n") * BANDS - 1)).alias("at"))
     byte = lambda k: F.substring(F.col("bits"), (corner * 4 * BANDS + (table * 4 + k) % (4 * BANDS) + 1).cast("int"), F.lit(1))
-    return at.select(F.xxhash64(table, F.concat(*[byte(k) for k in range(KEY_BYTES)])).alias("key"), "node")
+    return at.select(F.xxhash64(table, F.concat(*[byte(k) for k in range(KEY_BYTES)])).alias("key"), "node", F.substring(F.col("bits"), (corner * 4 * BANDS + 1).cast("int"), F.lit(4 * BANDS)).alias("tests"))
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Spark deletes a finished query's shuffle files once the driver has collected its plan, which a small plan may wait for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _words(tests: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(tests.to_pylist()), "<u8").reshape(-1, BITS // 64)
+
+
+def _near_pairs(pairs: DataFrame, near: int) -> DataFrame:
+    """Of the rows (a, b, ta, tb) whose tests differ in at most `near`, the nearest a of each b, as (a, b)."""
+
+    def run(batches):
+        for b in batches:
+            far = np.bitwise_count(_words(b.column(2)) ^ _words(b.column(3))).sum(1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(far)], names=["a", "b", "far"]).filter(pa.array(far <= near))
+
+    best = pairs.mapInArrow(lean(run), "a long, b long, far int").groupBy("b").agg(F.min(F.struct("far", "a")).alias("best"))
+    return best.select(F.col("best.a").alias("a"), "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) -> DataFrame:
@@ -229,51 +259,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, most_bits: int, least: int) ->
 
     # only images that have a pair go into the shuffles with their corners
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = stash(with_hit(sets, bitmap(ends, 22, "node"), 22, "_hit", "node").where("_hit").select("node", "geo", "bits"), "media-ends")
+    some = with_hit(sets, bitmap(ends, 22, "node"), 22, "_hit", "node").where("_hit").select("node", "geo", "bits")
     one, two = (some.toDF(x, f"g{x}", f"d{x}") for x in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "da", "gb", "db").mapInArrow(lean(run), "a long, b long")
 
 
-def _cross_pairs(active: DataFrame, block: int) -> DataFrame:
-    """(a, b), once for each key they share: pairs of nodes of different classes. A key's nodes come in blocks of about `block`, and each pair of blocks is one row of work."""
-    sized = active.join(active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "key")
-    blocks = stash(sized.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks"))).groupBy("key", "s").agg(F.collect_list("node").alias("ns"), F.collect_list("root").alias("rs")), "media-blocks")
-    l, r = (blocks.alias(x) for x in "lr")
-    both = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.s") <= F.col("r.s")))
-    both = both.select(F.col("l.ns").alias("an"), F.col("l.rs").alias("ar"), F.col("r.ns").alias("bn"), F.col("r.rs").alias("br"), (F.col("l.s") == F.col("r.s")).alias("same"))
+def _cross_pairs(table: DataFrame, near: int) -> DataFrame:
+    """(a, b), once for each key they share by corners that differ in at most `near` tests: pairs of nodes of different classes. A key's corners come in `of` blocks, and each pair of blocks is one
+    row of work: all their corners are compared, but only near ones become rows. A key of one block needs no join."""
+    lists = [F.collect_list(c).alias(n) for c, n in (("node", "ns"), ("root", "rs"), ("tests", "ts"))]
+    blocks = table.withColumn("s", F.pmod(F.xxhash64("node"), F.col("of"))).groupBy("key", "s").agg(F.first("of").alias("of"), F.min("root").alias("r0"), F.max("root").alias("r1"), *lists)
+    blocks = stash(blocks.where("of > 1 or r0 < r1").drop("r0", "r1"), "media-blocks")
+    l, r = (blocks.where("of > 1").alias(x) for x in "lr")
+    two = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.s") <= F.col("r.s")))
+    sides = lambda l, r: [F.col(f"{x}{c}").alias(y + c) for x, y in ((l, "l"), (r, "r")) for c in ("ns", "rs", "ts")]
+    both = blocks.where("of = 1").select(*sides("", ""), F.lit(True).alias("same")).unionByName(two.select(*sides("l.", "r."), (F.col("l.s") == F.col("r.s")).alias("same")))
 
     def run(batches):
         for batch in batches:
-            out_a, out_b, held = [], [], 0
-            for an, ar, bn, br, same in zip(*batch.columns):
-                an, ar, bn, br = (x.values.to_numpy() for x in (an, ar, bn, br))
-                for n, root in zip(an, ar):
-                    other = bn[(br != root) & (bn > n)] if same.as_py() else bn[br != root]
-                    if len(other):
-                        out_a.append(np.minimum(n, other))
-                        out_b.append(np.maximum(n, other))
-                        held += len(other)
-                    if held > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-                        out_a, out_b, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+            (an, ar, at), (bn, br, bt) = ([c.flatten() for c in batch.columns[k : k + 3]] for k in (0, 3))
+            an, ar, bn, br, at, bt = *(x.to_numpy() for x in (an, ar, bn, br)), _words(at), _words(bt)
+            la, lb = (batch.column(k).value_lengths().to_numpy() for k in (0, 3))
+            # one entry for each corner on the left: how many it meets on the right, and where those begin
+            meets, begin = np.repeat(lb, la), np.repeat(np.cumsum(lb) - lb, la)
+            same = np.repeat(batch.column(6).to_numpy(zero_copy_only=False), la)
+            ends, lo = np.cumsum(meets), 0
+            while lo < len(an):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 250_000)))
+                m = meets[lo:hi]
+                i = np.repeat(np.arange(lo, hi), m)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + begin[i]
+                ok = (ar[i] != br[j]) & (~same[i] | (an[i] < bn[j]))
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(at[i] ^ bt[j]).sum(1, dtype=np.int64) <= near
+                a, b = an[i[ok]], bn[j[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                lo = hi
 
     return both.mapInArrow(lean(run), "a long, b long")
 
 
-def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 5, votes: int = 2, block: int = 2048, filter_bits: int = 24, rounds: int = 4) -> DataFrame:
+def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int = 48, least: int = 5, near: int = 28, block: int = 2048, filter_bits: int = 24, rounds: int = 4) -> DataFrame:
     """One row per input row: id, n_corners, class_id, the smallest id among the images that are linked to it, directly or through others.
 
-    Two images are linked if they share at least `votes` keys of the Hamming tables (8 keys for each corner, of 40 tests at any number of images) and matching corners (at most most_bits of 256 tests differ) at `least` spots or more
-    agree on one shift, turn and scale: cropped, shifted, turned, resized, brighter or partly covered copies. Keys find most pairs that the corners
+    Two images are linked if two of their corners share a key of the Hamming tables (8 keys for each corner, of 40 tests at any number of images) and differ in at most `near` of all 256 tests, and matching corners (at most most_bits
+    of 256 tests differ) at `least` spots or more agree on one shift, turn and scale: cropped, shifted, turned, resized, brighter or partly covered copies. Keys find most pairs that the corners
     would confirm, not all: test_media_recall measures the share for turns and scales. At most 71 corners of an image count, so a crop of a small part of it may keep too few.
 
     1. Corners and tests are computed row by row. Images with the same corners and tests are one node, so exact copies never meet in a table.
     2. The tables are one equality grouping. Keys of one node go, by a filter of fixed size and an exact count.
     3. In each round every key whose nodes are not yet one class pairs its smallest remaining node with the others that aren't in its class, and then leaves it out:
-       at most as many pairs as the table has rows. Verified pairs are links; classes are the components of all links. A hot group of copies becomes one class in a round or two.
-    4. When rounds join little, are used up or few pairs are left, the whole table is gone through again, in blocks: all pairs that share enough keys and not yet a
+       at most as many pairs as the table has rows. Each node's nearest pair is verified; those confirmed are links; classes are the components of all links. A hot group of copies becomes one class in a round or two.
+    4. When rounds join little, are used up or few pairs are left, the whole table is gone through again, in blocks: all pairs that share a key by near corners and not yet a
        class are verified. So no link between classes is missed: no cap, no sampling.
 
     Images that can't be read, are flat or too small have no corners; those of the same bytes share a class. Null images are classes of their own, null ids included (class_id null). Repeated rows share a class.
@@ -282,16 +320,22 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
     spark = media.sparkSession
     low = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("low")
     with scratch(spark) as keep_all:
-        rows = keep_all(stash(features(media, id_col, image_col).withColumn("row", F.monotonically_increasing_id()), "media-features"))
-        named = rows.where("n > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
-        sets = stash(named.groupBy("set").agg(low, F.first("geo").alias("geo"), F.first("bits").alias("bits"), F.first("n").alias("n")).withColumn("node", F.col("low.row")), "media-sets")
+        with scratch(spark) as keep:
+            found = stash(features(media, id_col, image_col).withColumn("row", F.monotonically_increasing_id()), "media-features")
+            found = found.withColumn("set", F.when(F.length("bits") > 0, F.sha2(F.concat("geo", "bits"), 256)))
+            rows = keep_all(keep(stash(found.select("id", "n", "row", "set"), "media-rows")))
+            named = found.where("n > 0").groupBy("set").agg(low, F.first("geo").alias("geo"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+            sets = keep(stash(named.withColumn("node", F.col("low.row")), "media-sets"))
+        _tidy(spark)
         # a key is shared if it has two different nodes; the keys are made twice from the corners, which is cheaper than to write them all
         keys = _table_keys(sets)
         with scratch(spark) as keep:
-            shared = stash(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "media-shared")
-            whole = with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node").distinct()
-            whole = keep(stash(whole.join(shared, "key", "left_semi"), "media-table"))
-        roots = _roots(whole, sets, most_bits, least, votes, block, rounds)
+            shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.ceil(F.count(F.lit(1)) / block).alias("of"))
+            shared = stash(shared.where("a < b").select("key", "of"), "media-shared")
+            whole = with_hit(keys, bitmap(shared, filter_bits, "key"), filter_bits, "_hit", "key").where("_hit").select("key", "node", "tests")
+            whole = keep(stash(whole.join(shared, "key"), "media-table"))
+        _tidy(spark)
+        roots = _roots(whole, sets, most_bits, least, near, rounds)
         where = sets.select("set", "node", "low")
         alone = where.withColumn("root", F.lit(None).cast("long")) if roots is None else where.join(roots, "node", "left")
         where = stash(alone.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS))), "media-where")
@@ -299,40 +343,46 @@ def media_copies(media: DataFrame, id_col: str, image_col: str, most_bits: int =
         least_of = where.where("root is not null").groupBy("root").agg(F.min("low").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         linked = where.where("root is not null").select("set", "root", "salt").join(least_of, ["root", "salt"]).select("set", F.col("low.id").alias("class_id"))
         named_class = keep_all(stash(linked.unionByName(where.where("root is null").select("set", F.col("low.id").alias("class_id"))), "media-classes"))
-    plain = rows.where("n = 0 and length(bits) > 0").withColumn("set", F.sha2(F.concat("geo", "bits"), 256))
+    plain = rows.where("n = 0 and set is not null")
     named_class = named_class.unionByName(plain.groupBy("set").agg(low).select("set", F.col("low.id").alias("class_id")))
-    out = rows.withColumn("set", F.when(F.length("bits") > 0, F.sha2(F.concat("geo", "bits"), 256))).select("id", "n", "set").join(named_class, "set", "left")
+    out = rows.select("id", "n", "set").join(named_class, "set", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_corners"), F.when(F.col("set").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
 
-def _roots(whole: DataFrame, sets: DataFrame, most_bits: int, least: int, votes: int, block: int, rounds: int) -> DataFrame | None:
-    """(node, root): the classes of nodes that have links, by the rounds that media_copies describes. whole: the table of keys (key, node). Each round deletes its tables."""
+def _roots(whole: DataFrame, sets: DataFrame, most_bits: int, least: int, near: int, rounds: int) -> DataFrame | None:
+    """(node, root): the classes of nodes that have links, by the rounds that media_copies describes. whole: the table of keys (key, node, tests, of), `of` the key's blocks. Each round deletes its tables."""
+    spark = sets.sparkSession
     links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    left, roots, known, last = whole, None, 0, False
-    for k in range(rounds + 1):
-        last = last or k == rounds
-        with scratch(sets.sparkSession) as keep:
-            table = whole if last else left
-            table = table.withColumn("root", F.col("node")) if roots is None else table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = table.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
-            mixed = stash(mixed.where("r0 < r1").select("key", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"), "k"), "media-mixed")
+    left, roots, known = whole.drop("of"), None, 0
+    rooted = lambda t: t.withColumn("root", F.col("node")) if roots is None else t.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for _ in range(rounds):
+        with scratch(spark) as keep:
+            table = rooted(left)
+            mixed = table.groupBy("key").agg(F.min(F.struct("node", "root", "tests")).alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
+            mixed = stash(mixed.where("r0 < r1").select("key", F.col("first.node").alias("rep"), F.col("first.root").alias("rep_root"), F.col("first.tests").alias("rep_tests"), "k"), "media-mixed")
             n, most = mixed.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0))).first()
             if not n:
-                if last:
-                    break
-                last = True
-                continue
+                break
             active = keep(stash(table.join(mixed, "key"), "media-active"))
-            pairs = _cross_pairs(active.select("key", "node", "root"), block) if last else active.where("root <> rep_root").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-            pairs = stash(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") >= votes).select("a", "b"), "media-pairs")
+            pairs = active.where("root <> rep_root").select(F.col("rep").alias("a"), F.col("node").alias("b"), F.col("rep_tests").alias("ta"), F.col("tests").alias("tb"))
+            pairs = stash(_near_pairs(pairs, near), "media-pairs")
+            _tidy(spark)
             links = keep(stash(links.unionByName(_verified(pairs, sets, most_bits, least)), "media-links"))
             roots = keep(stash(components(links, "media-cc"), "media-roots"))
-        if last:
-            break
-        left = active.where("node <> rep").select("key", "node")
+        _tidy(spark)
+        left = active.where("node <> rep").select("key", "node", "tests")
         before, known = known, links.count()
         # few pairs left, or what shares keys now are mostly different images, so that further rounds would join little
-        last = most <= 8 * n or 20 * (known - before) < n
+        if most <= 8 * n or 20 * (known - before) < n:
+            break
+    with scratch(spark) as keep:
+        pairs = stash(_cross_pairs(rooted(whole), near).distinct(), "media-pairs")
+        if pairs.isEmpty():
+            return roots
+        _tidy(spark)
+        links = stash(links.unionByName(_verified(pairs, sets, most_bits, least)), "media-links")
+        roots = keep(stash(components(links, "media-cc"), "media-roots"))
+    _tidy(spark)
     return roots
 
 

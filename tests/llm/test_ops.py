@@ -422,6 +422,28 @@ def test_media_links_do_not_depend_on_size(spark, monkeypatch):
     assert got == {i: i if i > 1 else 0 for i in range(len(rows))}
 
 
+def test_media_shared_keys_of_unlike_images_make_no_pairs(spark, monkeypatch):
+    # 300 images whose five corners all have the same first 72 tests, so every two images share keys; the other tests differ, but for images 0 and 200, 1 and 201, ...
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 256, (300, 5, 32), dtype=np.uint8)
+    bits[:, :, :9] = bits[0, :, :9]
+    bits[200:, :, 9:] = bits[:100, :, 9:] ^ (rng.random((100, 5, 23)) < 0.5)  # half of the bytes by one test each
+    geo = np.array([[20, 20, 1, 0], [20, 70, 1, 0], [70, 20, 1, 0], [70, 70, 1, 0], [45, 45, 1, 0]], np.float32).tobytes()
+    seen, verified = [], media._verified
+    monkeypatch.setattr(media, "features", lambda m, i, c: m)
+    monkeypatch.setattr(media, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    rows = [(i, bytearray(geo), bytearray(b.tobytes()), 5) for i, b in enumerate(bits)]
+    df = spark.createDataFrame(rows, "id long, geo binary, bits binary, n int").repartition(4)
+    for block in (2048, 50):
+        got = {r.id: r.class_id for r in media.media_copies(df, "id", "geo", block=block).collect()}
+        assert got == {i: i % 200 for i in range(300)}
+    assert sum(seen) <= 2 * 300  # all pairs would be 44850 a run
+
+
+def test_media_order_holds_every_test_once():
+    assert sorted(media.ORDER) == list(range(media.BITS))
+
+
 def turned(img, degrees, scale):
     """img turned about its centre and resized, bilinear; what comes from outside is grey."""
     a, (h, w) = np.deg2rad(degrees), img.shape
