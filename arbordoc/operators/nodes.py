@@ -102,19 +102,30 @@ def node_table_json(df: DataFrame, id_cols: list[str], json_col: str) -> DataFra
     return node_rows(df, id_cols, json_col, json.loads)
 
 
+def nesting(j: Column) -> Column:
+    """How deep the containers of a JSON text stand in each other: 0 for a scalar."""
+    brackets = F.regexp_replace(F.regexp_replace(j, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda a, c: F.when(c.isin("[", "{"), F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))).when(c.isin("]", "}"), F.struct((a["now"] - 1).alias("now"), a["most"].alias("most"))).otherwise(a)
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+
 def node_table_sql(df: DataFrame, id_col: str, json_col: str, levels: int = 100) -> DataFrame:
-    """(id, path, kind, value as JSON text, depth) by a recursive query over variant_explode: JVM only; keys come in alphabetical order.
+    """(id, path, kind, value as JSON text, depth) by variant_explode, applied to its own rows as often as the deepest document asks (one pass finds that): JVM only; keys come in
+    alphabetical order. Documents of more than `levels` levels are an error.
 
-    Each level is one pass over the rows of the level before.
+    Each level is made from the documents where they are, without a shuffle, so a task reads its own partition of df and no more.
     """
     spark = df.sparkSession
-    roots = df.select(F.col(id_col).alias("id"), F.try_parse_json(json_col).alias("v"))
-    out = spark.sql(f"""
-        with recursive n(id, path, v, depth) max recursion level {levels} as (
-            select id, '$', v, 0 from {{roots}}
-            union all
-            select n.id, n.path || case when e.key is null then '[' || e.pos || ']' else '.' || e.key end, e.value, n.depth + 1
-            from n, lateral variant_explode(n.v) e)
-        select id, path, schema_of_variant(v) as schema, to_json(v) as value, depth from n limit all""", roots=roots)
-    kind = F.when(F.col("schema").startswith("OBJECT"), "map").when(F.col("schema").startswith("ARRAY"), "list").otherwise("scalar")
-    return out.select(F.col("id").alias(id_col), "path", kind.alias("kind"), "value", "depth")
+    roots = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v"), F.lit(0).alias("depth"))
+    deepest = roots.agg(F.max(nesting(F.to_json("v")))).first()[0] or 0
+    if deepest > levels:
+        raise ValueError(f"documents have {deepest} levels, more than {levels}")
+    out = level = roots
+    for _ in range(deepest):
+        level = spark.sql("""
+            select n.id, n.path || case when e.key is null then '[' || e.pos || ']' else '.' || e.key end as path, e.value as v, n.depth + 1 as depth
+            from {level} n, lateral variant_explode(n.v) e""", level=level)
+        out = out.unionAll(level)
+    schema = F.schema_of_variant("v")
+    kind = F.when(schema.startswith("OBJECT"), "map").when(schema.startswith("ARRAY"), "list").otherwise("scalar")
+    return out.select(F.col("id").alias(id_col), "path", kind.alias("kind"), F.to_json("v").alias("value"), "depth")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, paths, scalars
 from ..operators import inspection, layouts, lookup, nodes
-from ..session import table
+from ..session import spread, table
 from ..sources import documents
 from ..sources.encoder import Options
 from ..sources.wire import ALPHABET
@@ -47,7 +47,8 @@ def part_docs(s: SparkSession, d: str) -> DataFrame:
 def order_docs(s: SparkSession, d: str) -> DataFrame:
     """Nested documents: an order with its lines."""
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
-    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(line)).alias("items"))).alias("j"))
+    lines = spread(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    return lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(line)).alias("items"))).alias("j"))
 
 
 ORDERS = "with t as (select l_orderkey k, to_json({'items': list({'n': l_linenumber, 'p': l_partkey} order by l_linenumber, l_partkey)}) j from lineitem group by 1) "

@@ -43,3 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, by a path that Spark's own reader opens."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str, mb: int = 4) -> DataFrame:
+    """df dealt out by keys over the session's shuffle partitions, or over more: one for each mb megabytes that Spark expects of it. So a task's rows don't grow with the table, and the
+    slow steps after it use all cores even where a file has few row groups. An aggregation by the same keys needs no further shuffle."""
+    spark = df.sparkSession
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, expected // (mb << 20) + 1)
+    return df.repartition(n, *keys)

@@ -13,7 +13,7 @@ from arbordoc.sources import datasource, display, documents
 from arbordoc.sources.cursor import decode
 from arbordoc.sources.encoder import encode
 from arbordoc.sources.tree import tree
-from arbordoc.sources.wire import CodecError
+from arbordoc.sources.wire import CodecError, binary_head
 from arbordoc.streaming import events
 from conftest import SF
 
@@ -326,3 +326,20 @@ def test_encoding_entries(spark):
     assert rows(prefix="a") == [(1, None, "ab", "list", '[5,{"x":1}]'), (1, None, "ac", "int", "2")]
     assert rows(key="b") == [(1, None, "b", "str", '"t"')] and rows(key="no") == [] and rows(at=1) == [(1, 1, "ac", "int", "2")]
     assert rows(path=["ab"], at=1) == [(1, 1, None, "map", '{"x":1}')] and rows(path=["zz"]) == []
+
+
+def test_node_table_sql_reaches_the_deepest_document_and_no_further(spark):
+    deep = "[" * 12 + '"]}[{"' + "]" * 12
+    df = spark.createDataFrame([(1, deep), (2, '{"a\\"[[":{"b":null}}'), (3, "7"), (4, "no json"), (5, None)], "id long, j string")
+    got = nodes.node_table_sql(df, "id", "j").collect()
+    assert sorted(r.depth for r in got if r.id == 1) == list(range(13))
+    assert {(r.path, r.kind) for r in got if r.id == 2} == {("$", "map"), ('$.a"[[', "map"), ('$.a"[[.b', "scalar")}
+    assert [(r.path, r.kind, r.value) for r in got if r.id in (3, 4, 5)] == [("$", "scalar", "7"), ("$", "scalar", None), ("$", "scalar", None)]
+    with pytest.raises(ValueError, match="12 levels"):
+        nodes.node_table_sql(df, "id", "j", levels=11)
+
+
+def test_varint_size_is_that_of_the_binary_form(spark):
+    sizes = [v for n in range(1, 10) for v in ((1 << 3 + 7 * (n - 1)) - 1, 1 << 3 + 7 * (n - 1)) if v < 1 << 63] + [899999**2]
+    rows = spark.createDataFrame([(v,) for v in sizes], "v long").select("v", scalars.varint_size(F.col("v")).alias("n")).collect()
+    assert all(r.n == len(binary_head("int", r.v)) for r in rows)
