@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cursor import Document, decode, to_json
-from .encoder import Options, encode, encode_to, identity
+from .encoder import DEFAULT, Options, encode, encode_to, identity
+from .templates import TextEncoder
 from .tree import tree
 from .wire import UNDEFINED, CodecError, wire_of
 
@@ -62,19 +63,42 @@ def strip_comments(text: str) -> str:
     return "".join(out)
 
 
-def parse_json(text: str) -> Any:
-    """A value from JSON text with comments allowed; repeated keys are an error."""
+def _once(pairs):
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise CodecError("a key is repeated")
+    return out
+
+
+#: Plain JSON at a position of a text; StopIteration where none begins.
+SCAN = json.JSONDecoder().scan_once
 
-    def once(pairs):
-        out = dict(pairs)
-        if len(out) != len(pairs):
-            raise CodecError("a key is repeated")
-        return out
 
+def _n_keys(value: Any) -> int:
+    n, todo = 0, [value]
+    for x in todo:
+        if type(x) is dict:
+            n += len(x)
+            todo += x.values()
+        elif type(x) is list:
+            todo += x
+    return n
+
+
+def parse_json(text: str) -> Any:
+    """A value from JSON text with comments allowed; repeated keys are an error."""
+    if "\\" not in text:
+        # colons outside strings are as many as the keys of the text: if the value has as many keys as there are colons at all, none is repeated
+        try:
+            value, end = SCAN(text, 0)
+            if end == len(text) and text.count(":") == _n_keys(value):
+                return value
+        except (StopIteration, json.JSONDecodeError):
+            pass
     try:
-        return json.loads(text, object_pairs_hook=once)
+        return json.loads(text, object_pairs_hook=_once)
     except json.JSONDecodeError:  # most texts have no comments: these are looked for only where the text doesn't parse
-        return json.loads(strip_comments(text), object_pairs_hook=once)
+        return json.loads(strip_comments(text), object_pairs_hook=_once)
 
 
 def detect_format(data: bytes) -> str:
@@ -140,9 +164,23 @@ def _guard(f: Callable[[Any], Any], strict: bool) -> Callable[[Any], Any]:
     return g
 
 
+_ENCODERS: dict[tuple, TextEncoder] = {}
+
+
+def text_encoder(fmt: str = "text", options: Options | None = None) -> TextEncoder:
+    """The process's encoder of JSON texts; with refs, which may be any values, a new one."""
+    o = options or DEFAULT
+    if o.refs:
+        return TextEncoder(parse_json, fmt, o)
+    key = fmt, o.index_over, o.chain_over, o.delimiters, o.share_below
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(parse_json, fmt, o)
+    return _ENCODERS[key]
+
+
 def doc_encode(j: Column, fmt: str = "text", options: Options | None = None) -> Column:
     """JSON text to an encoded document. NULL stays NULL; text that isn't JSON is an error."""
-    return F.arrow_udf(_per_value(lambda s: encode(parse_json(s), fmt, options), pa.binary()), "binary")(j)
+    return F.arrow_udf(_per_value(lambda s: text_encoder(fmt, options)(s), pa.binary()), "binary")(j)
 
 
 def doc_identity(j: Column) -> Column:
@@ -151,11 +189,10 @@ def doc_identity(j: Column) -> Column:
 
 
 def doc_sizes(j: Column, options: Options | None = None) -> Column:
-    """struct(text, binary): the bytes of both encodings of JSON text, which is parsed once."""
+    """struct(text, binary): the bytes of both encodings of JSON text."""
 
     def sizes(s):
-        v = parse_json(s)
-        return {"text": len(encode(v, "text", options)), "binary": len(encode(v, "binary", options))}
+        return {f: text_encoder(f, options).size(s) for f in ("text", "binary")}
 
     return F.arrow_udf(_per_value(sizes, pa.struct([("text", pa.int64()), ("binary", pa.int64())])), "struct<text:bigint,binary:bigint>")(j)
 
@@ -216,6 +253,18 @@ def doc_count(payload: Column, path: list[str] = [], fmt: str = "text") -> Colum
     return F.arrow_udf(_per_value(count, pa.int64()), "long")(payload)
 
 
+def doc_get_and_count(payload: Column, path: list[str], counted: list[str], fmt: str = "text") -> Column:
+    """struct(value, n): what doc_get gives for path and doc_count for counted, from bytes that are opened once. Two functions of an encoded column would encode it twice."""
+
+    def read(b):
+        d = Document(b, fmt)
+        v, right = d.get(path), d.seek(counted)
+        n = None if right is None or (x := d.target(right)).kind not in ("list", "map") else d.count(x)
+        return {"value": None if v is UNDEFINED else to_json(v), "n": n}
+
+    return F.arrow_udf(_per_value(read, pa.struct([("value", pa.string()), ("n", pa.int64())])), "struct<value:string,n:bigint>")(payload)
+
+
 def read_documents(spark: SparkSession, path: str, fmt: str | None = None, extensions: Mapping[str, str] = EXTENSIONS, strict: bool = True) -> DataFrame:
     """(path, format, payload, json): one row per file, by Spark's own file reader, so any store that it reads will do. fmt None: by ending, then by content.
 

@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arbordoc.sources.cursor import UNDEFINED, Document, decode, plain, to_json
+from arbordoc.sources.documents import parse_json
 from arbordoc.sources.encoder import Options, encode, encode_chunks, encode_to, identity, split_number
+from arbordoc.sources.templates import TextEncoder
 from arbordoc.sources.wire import ALPHABET, CodecError, classify, from_base64, pack_digits, to_base64, unpack_digits, unzigzag, zigzag
 
 PEOPLE = [{"name": "alice", "age": 1}, {"name": "bob", "age": 2}, {"name": "charlie", "age": 3}]
@@ -193,3 +195,31 @@ def test_digits_are_packed_and_unpacked():
         assert packed == (number << (-6 * size % 8)).to_bytes((6 * size + 7) // 8, "big") and unpack_digits(packed, size, 6) == digits
     for n in (0, 1, 63, 64, 4095, 4096, 2**24 - 1, 2**24, 2**63):
         assert from_base64(to_base64(n)) == n and not to_base64(n).startswith("0")
+
+
+TEXTS = [
+    '{"items":[{"n":1,"p":17448},{"n":2,"p":9213}]}', '{"items":[{"n":1,"p":17449},{"n":2,"p":9214}]}', '{"items":[{"n":1,"p":99999},{"n":2,"p":1000}]}', '{"items":[{"n":1,"p":17448},{"n":2,"p":17448}]}',
+    '{"items":[{"n":1,"p":1},{"n":2,"p":2}]}', '{"items":[{"n":1,"p":1},{"n":1,"p":1}]}', '{"items":[{"n":3,"p":4},{"n":5,"p":6}]}', '{"a":12345,"b":[12345,1]}', '{"a":12345,"b":[12346,1]}', '{"a":1.5,"b":"x12"}', '{"a":2.5,"b":"x13"}',
+    '[100000,-2049,2049]', '[100001,-2048,2048]', '[300000,-2049,2049]', '["1",2]', '["2",2]', '{"a": -7}', '{"a": -8}', '"a-b"', "[1e2]", "[3e4]", '{"é":7}', '{"é":8}', "12 // seven", "[true,1]", "[true,2]",
+]
+
+
+@pytest.mark.parametrize("fmt", ["text", "binary"])
+@pytest.mark.parametrize("share_below", [32, 3])
+def test_texts_that_differ_in_integers_are_encoded_as_each_alone(fmt, share_below):
+    o = Options(index_over=2, share_below=share_below)
+    e = TextEncoder(parse_json, fmt, o)
+    for t in TEXTS * 2:
+        alone = encode(parse_json(t), fmt, o)
+        assert e(t) == alone and e.size(t) == len(alone), t
+    assert e.n_made < len(TEXTS)
+
+
+def test_a_template_takes_no_text_that_is_no_json():
+    e = TextEncoder(parse_json)
+    e('{"a":12}')
+    for bad in ('{"a":02}', '{"a":1,"a":2}'):
+        with pytest.raises(ValueError):
+            e(bad)
+        with pytest.raises(ValueError):
+            e.size(bad)
