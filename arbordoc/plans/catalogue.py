@@ -350,7 +350,8 @@ def codec_roundtrip_binary(s, d):
 @query(ORDERS + "select k, cast(json_extract_string(j, '$.items[1].p') as bigint) v, json_array_length(j, '$.items')::bigint n from t")
 def codec_lookup(s, d):
     p = order_docs(s, d).select("k", documents.doc_encode(F.col("j"), "binary", Options(index_over=2)).alias("p"))
-    return p.select("k", documents.doc_get(F.col("p"), ["items", "1", "p"], "binary").cast("long").alias("v"), documents.doc_count(F.col("p"), ["items"], "binary").alias("n"))
+    r = p.select("k", documents.doc_get_and_count(F.col("p"), ["items", "1", "p"], ["items"], "binary").alias("r"))
+    return r.select("k", F.col("r.value").cast("long").alias("v"), F.col("r.n").alias("n"))
 
 
 def _nation_map(s, d):

@@ -49,3 +49,14 @@ def test_written_rounds_need_a_shared_folder(monkeypatch, spark, tmp_path):
 
     df = spark.range(3)
     assert sorted(r.id for r in cut(df).collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("name", ["codec_lookup", "encoding_at", "size_stats", "codec_roundtrip_text", "codec_roundtrip_binary", "node_table_recursive"])
+def test_rows_are_dealt_over_all_partitions(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "UnionLoop" not in plan
+
+
+def test_a_lookup_encodes_once(spark):
+    plan = QUERIES["codec_lookup"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
