@@ -328,7 +328,8 @@ def index_threshold(s, d):
 
 
 def _round_trip(s, d, fmt):
-    e = table(s, d, "events").select("event_id", F.to_json(F.struct("event_id", "event_type", F.parse_json("props").alias("props"))).alias("j"))
+    e = spread(table(s, d, "events").select("event_id", "event_type", "props"), "event_id", "event_type", "props")
+    e = e.select("event_id", F.to_json(F.struct("event_id", "event_type", F.parse_json("props").alias("props"))).alias("j"))
     p = e.select("event_id", documents.doc_encode(F.col("j"), fmt).alias("p"))
     v = F.parse_json(documents.doc_decode(F.col("p"), fmt))
     return p.select("event_id", v.alias("v")).select("event_id", F.variant_get("v", "$.event_type", "string").alias("event_type"), F.variant_get("v", "$.props.k", "long").alias("k"))
